@@ -1,7 +1,7 @@
 """Text statistics per document and a classifier that tells running prose from lists, tables and junk.
 
-All statistics are built-in column expressions over the whole text. Three gradient-boosted tree ensembles (list, table
-and junk against the rest) are trained on statistics of weakly labelled texts: a bounded, hash-ordered sample of the
+All statistics are built-in column expressions over the whole text. Four gradient-boosted tree ensembles (prose, list,
+table and junk, each against the rest) are trained on statistics of weakly labelled texts: a bounded, hash-ordered sample of the
 corpus labelled by rules that only speak where they are sure, plus generated examples of every kind. Their margins are
 calibrated on a hand-checked holdout. Only the numbers, never the texts, leave the JVM for scoring.
 """
@@ -21,12 +21,13 @@ from tallyspark.session import ship_package
 
 KINDS = ("list", "table", "junk")
 SAMPLE_ROWS = 6_000  # bound of the corpus sample used for fitting
+#: Line patterns. A list item is short and marked, or a short "name: what to do"; cells of a table row are short.
 _BULLET = r"^\s*(?:[-*+•‣◦▪·–—]\s|\(?\d{1,3}[.)]\s|\[[ xX]\]\s|[a-zA-Z][.)]\s)\s*\S"
-_ROW = r"^\s*\|.*\|.*$|^\s*\+[-=+]+\+\s*$|^[^|]*\|[^|]*\|"
-_HTML_ROW = r"(?i)^\s*</?(?:table|tr|td|th|thead|tbody)\b"
-_GAPS = r"\S {2,}\S.* {2,}\S|\S {2,}[0-9.]+\s*$"
-_CSV = r"^[^,;\t]*([,;\t])(?! )[^,;\t]*\1(?! )"
+_COLON = r"^\s*(?:[\p{L}\p{N}_./-]+\s+){0,4}[\p{L}\p{N}_./-]+:\s"
+_FRAME = r"^\s*\|.*\|\s*$|^\s*\+[-=+]+\+\s*$|(?i)^\s*</?(?:table|tr|td|th|thead|tbody)\b"
+_ROW = r"^\s*\|?(?:[^|]{0,60}\|){2,}[^|]{0,60}$|^[^,;\t]{0,60}([,;\t])(?! )(?:[^,;\t]{0,60}\1(?! ))+[^,;\t]{0,60}$|^(?:\S{1,60}(?: \S{1,30}){0,3}(?: {2,}|\t)){2,}\S|^\S{1,60} {2,}[0-9.]+\s*$"
 _END = r"[.!?…:。！？：][\"'»”’)\]`*_]*\s*$"
+_ITEM_CHARS = 100  # a longer line is no short item
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -50,25 +51,27 @@ def with_statistics(docs: DataFrame, common_words: Sequence[str], text: str = "t
     cut = docs.select(*keep, t.alias("t"), words.alias("words"), lines.alias("lines"))
     latin = [w.lower() for w in common_words if w and w.isascii() or w and not _is_kana(w)]
     kana = sorted({w for w in common_words if w and _is_kana(w)}, key=lambda w: (-len(w), w))
-    known = F.array(*[F.lit(w) for w in sorted(set(latin))]) if latin else F.array().cast("array<string>")
+    known = sorted(set(latin)) or [""]
+    kept = lambda drop: F.char_length(F.regexp_replace("t", drop, ""))  # noqa: E731 - runs are dropped at once: fewer matches than characters
     base = cut.select(
         *keep, "t", "words", "lines",
         F.char_length("t").alias("n_chars"), F.size("words").alias("n_words"), F.size("lines").alias("n_lines"),
-        F.size(F.filter("words", lambda w: F.array_contains(known, w))).alias("__common"),
+        F.size(F.filter("words", lambda w: w.isin(known))).alias("__common"),
         F.regexp_count("t", F.lit("|".join(kana) or r"\b\B")).alias("__kana_words"),
-        F.regexp_count("t", F.lit(r"\p{L}")).alias("__letters"),
-        F.regexp_count("t", F.lit(r"[\p{IsHiragana}]")).alias("__hira"),
-        F.regexp_count("t", F.lit(r"\s")).alias("__spaces"),
-        F.regexp_count("t", F.lit(r"\p{N}")).alias("__digits"),
-        F.regexp_count("t", F.lit(r"\p{Lu}")).alias("__upper"),
+        kept(r"[^\p{L}]+").alias("__letters"),
+        kept(r"[^\p{IsHiragana}]+").alias("__hira"),
+        (F.char_length("t") - kept(r"\s+")).alias("__spaces"),
+        (F.char_length("t") - kept(r"\p{N}+")).alias("__digits"),
+        kept(r"[^\p{Lu}]+").alias("__upper"),
         F.regexp_count("t", F.lit(r"[,、;]")).alias("__commas"),
         F.regexp_count("t", F.lit(r"[.!?。！？](?:\s|$|[^\x00-\x7F])")).alias("__stops"),
     )
     chars, n_words, n_lines = F.col("n_chars"), F.col("n_words"), F.col("n_lines")
-    flowing = lambda x: (
-        (F.regexp_count(x, F.lit(r"[\p{IsHiragana}]")) * 5 >= F.char_length(x))
-        | (x.rlike(r"(?:\p{L}[\p{L}\p{N}'_`]* ){3}") & F.arrays_overlap(F.split(F.lower(x), " "), known))
-    ) & ~x.rlike(_BULLET) & ~x.rlike(_ROW) & ~x.rlike(_HTML_ROW) & ~x.rlike(_CSV)
+    tags = F.transform("lines", lambda x: F.struct(_line_kind(x, known).alias("k"), F.char_length(x).alias("n"), F.regexp_count(x, F.lit(r"[,;\t|]")).alias("d")))
+    base = base.withColumn("tags", tags)
+    total = F.aggregate("tags", F.lit(0), lambda a, x: a + x.n)
+    chars_of = lambda kinds: _share(F.aggregate(F.filter("tags", lambda x: x.k.isin(kinds)), F.lit(0), lambda a, x: a + x.n), total)
+    middle = F.try_element_at("tags", F.floor(F.size("tags") / 2).cast("int") + 1)["d"]
     stats = {
         "mean_word_len": _share(F.aggregate("words", F.lit(0), lambda a, w: a + F.char_length(w)), n_words),
         "common_share": _share(F.col("__common") + F.col("__kana_words"), F.greatest(n_words, F.col("__kana_words"))),
@@ -81,7 +84,9 @@ def with_statistics(docs: DataFrame, common_words: Sequence[str], text: str = "t
         "distinct_words": _share(F.size(F.array_distinct("words")), n_words),
         "distinct_lines": _share(F.size(F.array_distinct("lines")), n_lines),
         "distinct_chars": F.log1p(F.size(F.array_distinct(F.split("t", ""))).cast("double")),
-        "long_share": _share(chars - F.char_length(F.regexp_replace("t", r"[^\s\p{IsHiragana}\p{IsKatakana}\p{IsHan}。、]{32,}", "")), chars),
+        "long_share": _share(chars - F.char_length(F.regexp_replace("t", r"[A-Za-z0-9+/=]{40,}", "")), chars),
+        "odd_share": _share(chars - kept(r"[^\x00-\x7F\p{L}\p{M}]+"), chars),
+        "percent_share": _share(F.regexp_count("t", F.lit("%[0-9A-Fa-f]{2}")) * 3, chars),
         "mixed_share": _share(F.regexp_count("t", F.lit(r"(?i)\b(?=[a-z]*\d)(?=\d*[a-z])[a-z\d]{6,}\b")), n_words),
         "hex_share": _share(F.regexp_count("t", F.lit(r"\b[0-9a-f]{2}\b|\b[0-9a-f]{8}\b")), n_words),
         "vowelless": _share(F.size(F.filter("words", lambda w: w.rlike(r"^[b-df-hj-np-tv-xz]{4,}$"))), n_words),
@@ -91,14 +96,14 @@ def with_statistics(docs: DataFrame, common_words: Sequence[str], text: str = "t
         "repeated_sign": _share(chars - F.char_length(F.regexp_replace("t", r"([^\p{L}\p{N}\s])\1{3,}", "")), chars),
         "punct_end": _lines_like(_END),
         "bullets": _lines_like(_BULLET),
-        "rows": _lines_like(_ROW),
-        "html_rows": _lines_like(_HTML_ROW),
-        "gap_rows": _lines_like(_GAPS),
-        "csv_rows": _lines_like(_CSV),
-        "tab_rows": _lines_like(r"\S\t\s*\S"),
-        "short_lines": _share(F.size(F.filter("lines", lambda x: F.char_length(x) <= 60)), n_lines),
-        "colon_lines": _lines_like(r"^\s*(?:\S+\s+){0,4}\S+:\s"),
-        "flowing": _share(F.aggregate(F.transform(F.filter("lines", flowing), F.char_length), F.lit(0), lambda a, n: a + n), F.aggregate("lines", F.lit(0), lambda a, x: a + F.char_length(x))),
+        "flow_chars": chars_of(["flow"]),
+        "item_chars": chars_of(["item", "named"]),
+        "named_chars": chars_of(["named"]),
+        "row_chars": chars_of(["frame", "row"]),
+        "frame_chars": chars_of(["frame"]),
+        "other_chars": chars_of(["other"]),
+        "even_rows": F.when((n_lines > 2) & (middle > 1), _share(F.size(F.filter("tags", lambda x: x.d == middle)), n_lines)).otherwise(0.0),
+        "short_lines": _share(F.size(F.filter("tags", lambda x: x.n <= 60)), n_lines),
         "mean_line": F.log1p(_share(chars, n_lines)),
         "lines_log": F.log1p(n_lines.cast("double")),
         "words_log": F.log1p(n_words.cast("double")),
@@ -106,60 +111,71 @@ def with_statistics(docs: DataFrame, common_words: Sequence[str], text: str = "t
     return base.select(*keep, *[s.alias(n) for n, s in stats.items()], "n_words", "n_lines", "n_chars")
 
 
+def _line_kind(x: Column, known: Sequence[str]) -> Column:
+    """``frame`` or ``row`` of a table, ``item`` or ``named`` item of a list, ``flow`` for running text, or ``other``."""
+    words = F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    common = F.size(F.filter(words, lambda w: w.isin(list(known))))
+    kana = F.char_length(F.regexp_replace(x, r"[^\p{IsHiragana}]+", ""))
+    short = F.char_length(x) <= _ITEM_CHARS
+    flow = (F.size(words) >= 4) & (common * 10 >= F.size(words)) | (kana * 5 >= F.char_length(x))
+    return (
+        F.when(x.rlike(_FRAME), "frame").when(short & x.rlike(_BULLET), "item").when(short & x.rlike(_COLON), "named").when(flow, "flow").when(x.rlike(_ROW), "row").otherwise("other")
+    )
+
+
 def _is_kana(word: str) -> bool:
     return all("぀" <= c <= "ヿ" or "一" <= c <= "鿿" for c in word)
 
 
 FEATURES = (
-    "mean_word_len common_share symbol_share digit_share letter_share upper_share space_share hiragana_share distinct_words distinct_lines distinct_chars long_share "
-    "mixed_share hex_share vowelless number_words comma_rate stop_rate repeated_sign punct_end bullets rows html_rows gap_rows csv_rows tab_rows short_lines colon_lines flowing "
-    "mean_line lines_log words_log"
+    "mean_word_len common_share symbol_share digit_share letter_share upper_share space_share hiragana_share distinct_words distinct_lines distinct_chars long_share odd_share percent_share "
+    "mixed_share hex_share vowelless number_words comma_rate stop_rate repeated_sign punct_end bullets flow_chars item_chars named_chars row_chars frame_chars other_chars even_rows "
+    "short_lines mean_line lines_log words_log"
 ).split()
 
 
 def weak_labels(f: pd.DataFrame) -> np.ndarray:
     """Labels by rules that speak only where they are sure: 0 prose, 1 list, 2 table, 3 junk, -1 silent."""
     y = np.full(len(f), -1)
-    many = np.expm1(f.lines_log) > 2.5
-    prose = (f.flowing > 0.75) & (f.common_share > 0.12) & (f.bullets < 0.2)
-    prose |= (f.hiragana_share > 0.3) & (f.bullets < 0.2) & (f.rows < 0.2) & (f.flowing > 0.6)
-    y[prose.to_numpy()] = 0
-    y[((f.bullets > 0.6) & many & (f.rows < 0.2)).to_numpy()] = 1
-    y[((f.short_lines > 0.9) & many & (np.expm1(f.lines_log) > 4.5) & (f.flowing < 0.1) & (f.common_share < 0.08) & (f.punct_end < 0.2) & (f.number_words < 0.4) & (f.digit_share < 0.25)
-       & (f.letter_share > 0.6) & (f.distinct_lines > 0.8) & (f.rows + f.csv_rows + f.tab_rows + f.gap_rows < 0.1) & (f.vowelless < 0.1) & (f.hex_share < 0.1) & (f.long_share < 0.1)).to_numpy()] = 1
-    y[((f.comma_rate > 0.2) & (f.common_share < 0.03) & (f.distinct_words > 0.2) & ~many & (f.csv_rows < 0.5) & (f.words_log > 2.5)).to_numpy()] = 1
-    y[((np.maximum.reduce([f.rows, f.html_rows, f.csv_rows, f.tab_rows]) > 0.6) & many & (f.flowing < 0.3)).to_numpy()] = 2
-    y[((f.gap_rows > 0.6) & many & (f.flowing < 0.3) & (f.hex_share < 0.3)).to_numpy()] = 2
-    junk = (f.vowelless > 0.3) | ((f.number_words > 0.9) & (f.rows + f.csv_rows + f.tab_rows + f.gap_rows + f.bullets < 0.1)) | (f.long_share > 0.6) | (f.hex_share > 0.5) | (f.repeated_sign > 0.5)
-    junk |= (f.distinct_words < 0.06) & (f.words_log > 2.5) & (f.hiragana_share < 0.2)
-    junk |= (f.letter_share + f.digit_share < 0.15) & (f.rows < 0.3)
-    y[(junk & (f.flowing < 0.3)).to_numpy()] = 3
+    lines, words = np.expm1(f.lines_log), np.expm1(f.words_log)
+    tabular = (f.row_chars > 0.6) | ((f.even_rows > 0.7) & (f.flow_chars < 0.1))
+    plain = (f.letter_share > 0.6) & (f.digit_share < 0.25) & (f.vowelless < 0.1) & (f.hex_share < 0.1) & (f.long_share < 0.1) & (f.percent_share < 0.1)
+    y[((f.flow_chars > 0.75) & ((f.common_share > 0.1) | (f.hiragana_share > 0.2))).to_numpy()] = 0
+    y[((f.item_chars > 0.7) & (lines > 3.5) & (f.distinct_lines > 0.5)).to_numpy()] = 1
+    y[((f.short_lines > 0.9) & (lines > 4.5) & (f.flow_chars < 0.1) & ~tabular & plain & (f.distinct_lines > 0.8) & (f.common_share < 0.1)).to_numpy()] = 1
+    y[((f.comma_rate > 0.12) & (f.common_share < 0.04) & (f.distinct_words > 0.2) & (lines < 3.5) & plain & (f.flow_chars < 0.2) & (words > 11)).to_numpy()] = 1
+    y[(tabular & (lines > 2.5) & (f.flow_chars < 0.3)).to_numpy()] = 2
+    junk = (f.vowelless > 0.3) | ((f.number_words > 0.9) & ~tabular & (f.item_chars < 0.1)) | (f.long_share > 0.6) | (f.percent_share > 0.2) | (f.hex_share > 0.5) | (f.repeated_sign > 0.5)
+    junk |= (f.distinct_words < 0.06) & (words > 11) & (f.hiragana_share < 0.2)
+    junk |= (f.letter_share + f.digit_share < 0.15) & ~tabular
+    junk |= (f.odd_share > 0.25) & (f.common_share < 0.05) & (f.hiragana_share < 0.1)
+    junk |= (f.symbol_share > 0.4) & ~tabular & (f.item_chars < 0.1) & (f.common_share < 0.02)
+    y[(junk & (f.flow_chars < 0.3)).to_numpy()] = 3
     return y
 
 
 class QualityModel:
-    """One calibrated ensemble per kind; ``kinds`` gives the most likely kind where prose is less likely than not."""
+    """One calibrated ensemble per class; ``kinds`` gives the most likely one, None for prose."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray):
         self.parts = []
-        for k in range(1, len(KINDS) + 1):
+        for k in range(len(KINDS) + 1):
             trees = Boosted().fit(x, y == k)
             self.parts.append((trees, Platt().fit(trees.margin(held_x), held_y == k)))
 
     def chances(self, x: np.ndarray) -> np.ndarray:
+        """Calibrated chances of prose, list, table and junk, each against the rest."""
         return np.column_stack([scale.chance(trees.margin(x)) for trees, scale in self.parts])
 
     def kinds(self, x: np.ndarray) -> np.ndarray:
-        p = self.chances(x)
-        names = np.array(KINDS, object)[p.argmax(axis=1)]
-        return np.where(p.max(axis=1) > 0.5, names, None)
+        return np.array([None, *KINDS], object)[self.chances(x).argmax(axis=1)] if len(x) else np.empty(0, object)
 
 
 def fit_model(docs: DataFrame, common_words: Sequence[str], sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Fit on at most ``sample_rows`` corpus rows (those of the smallest hash of ``doc_id``) and generated examples."""
     spark = docs.sparkSession
     sample = docs.where(F.trim("text") != "").orderBy(F.xxhash64("doc_id")).limit(sample_rows).select("text")
-    corpus = with_statistics(sample, common_words).select(*FEATURES).toPandas()
+    corpus = with_statistics(sample.repartition(max(8, spark.sparkContext.defaultParallelism)), common_words).select(*FEATURES).toPandas()
     known = generated()
     made = [(t, KINDS.index(k) + 1 if k in KINDS else 0, 1) for t, k in known] + [(t, KINDS.index(k) + 1 if k in KINDS else 0, 2) for t, k in HOLDOUT]
     own = with_statistics(spark.createDataFrame(made, "text string, y int, part int"), common_words).select("y", "part", *FEATURES).toPandas()

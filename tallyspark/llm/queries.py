@@ -64,6 +64,15 @@ v AS (SELECT chatbot_id, 'precision' AS measure, day, CAST(p AS DOUBLE) AS value
       UNION ALL SELECT chatbot_id, 'recall', day, CAST(r AS DOUBLE) FROM once WHERE r IS NOT NULL AND NOT isnan(r))"""
 
 SQL = {
+    "p8_statistics": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS words FROM documents)
+SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, CAST(len(words) AS INTEGER) AS n_words,
+ round(coalesce(list_sum(list_transform(words, x -> length(x))) / nullif(len(words), 0), 0), 6) AS mean_word_len,
+ round(coalesce((length(t) - length(regexp_replace(t, '\p{N}+', '', 'g'))) / nullif(length(t), 0), 0), 6) AS digit_share,
+ round(coalesce(length(regexp_replace(t, '[^\p{L}]+', '', 'g')) / nullif(length(t), 0), 0), 6) AS letter_share,
+ round(coalesce(length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) / nullif(length(regexp_replace(t, '[^\p{L}]+', '', 'g')), 0), 0), 6) AS upper_share,
+ round(coalesce(len(list_distinct(words)) / nullif(len(words), 0), 0), 6) AS distinct_words
+FROM w""",
     "p3_percentiles": f"""
 WITH {_ONCE},
 o AS (SELECT *, row_number() OVER (PARTITION BY chatbot_id, measure ORDER BY value) AS rn, count(*) OVER (PARTITION BY chatbot_id, measure) AS n FROM v),
