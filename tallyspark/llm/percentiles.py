@@ -27,11 +27,16 @@ def day_states(df: DataFrame, group: str, measures: Sequence[str], record: str,
     a null group forms no state; infinities count as very large finite values. An empty table gives no states.
     """
     once = df.groupBy(F.col(record).alias("__id")).agg(F.min(F.struct(day.alias("day"), F.col(group).alias("g"), *[F.col(m).cast("double").alias(m) for m in measures])).alias("r"))
-    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), F.nanvl(F.col(f"r.{m}"), F.lit(None)))).alias("value")) for m in measures])
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), _bounded(F.col(f"r.{m}")).alias("value")) for m in measures])
     rows = once.select(F.col("r.g").alias(group), F.col("r.day").alias("day"), F.inline(pairs))
     return rows.where(f"value is not null and `{group}` is not null").groupBy(group, "measure", "day", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _bounded(value: Column) -> Column:
+    """NULL for NULL and NaN, infinities as the largest values (``least`` and ``greatest`` alone would skip NULL)."""
+    return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), value)))
+
+
 def merge_states(states: DataFrame, group: str) -> DataFrame:
     """Counts per value over all days of ``states``."""
     return states.groupBy(group, "measure", "value").agg(F.sum("n").alias("n"))

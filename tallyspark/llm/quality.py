@@ -144,10 +144,11 @@ def weak_labels(f: pd.DataFrame) -> np.ndarray:
     y[((f.item_chars > 0.7) & (lines > 3.5) & (f.distinct_lines > 0.5)).to_numpy()] = 1
     y[((f.short_lines > 0.9) & (lines > 4.5) & (f.flow_chars < 0.1) & ~tabular & plain & (f.distinct_lines > 0.8) & (f.common_share < 0.1)).to_numpy()] = 1
     y[((f.comma_rate > 0.12) & (f.common_share < 0.04) & (f.distinct_words > 0.2) & (lines < 3.5) & plain & (f.flow_chars < 0.2) & (words > 11)).to_numpy()] = 1
-    y[(tabular & (lines > 2.5) & (f.flow_chars < 0.3)).to_numpy()] = 2
+    y[(tabular & (lines > 2.5) & (f.flow_chars < 0.3) & ((f.symbol_share < 0.5) | (f.frame_chars > 0.3))).to_numpy()] = 2
     junk = (f.vowelless > 0.3) | ((f.number_words > 0.9) & ~tabular & (f.item_chars < 0.1)) | (f.long_share > 0.6) | (f.percent_share > 0.2) | (f.hex_share > 0.5) | (f.repeated_sign > 0.5)
     junk |= (f.distinct_words < 0.06) & (words > 11) & (f.hiragana_share < 0.2)
     junk |= (f.letter_share + f.digit_share < 0.15) & ~tabular
+    junk |= (f.symbol_share > 0.55) & (f.letter_share + f.digit_share < 0.25) & (f.frame_chars < 0.3)
     junk |= (f.odd_share > 0.25) & (f.common_share < 0.05) & (f.hiragana_share < 0.1)
     junk |= (f.symbol_share > 0.4) & ~tabular & (f.item_chars < 0.1) & (f.common_share < 0.02)
     y[(junk & (f.flow_chars < 0.3)).to_numpy()] = 3
