@@ -35,15 +35,15 @@ def targets(events: DataFrame, bots: Sequence[str] | None, first: object, last:
     return kept.groupBy("bot", "repo", "number").agg(F.min("day").alias("first_day"), F.max("url").alias("url"))
 
 
-def sample_targets(found: DataFrame, per_day: int, seed: int = 0) -> DataFrame:
-    """At most ``per_day`` targets per bot and first day, in the order of a seeded hash of the key.
+def sample_targets(found: DataFrame, per_day: int, seed: int | None = 0) -> DataFrame:
+    """At most ``per_day`` targets per bot and first day, in the order of a seeded hash of the key (of the key without seed).
 
     A bot whose targets number at most ``per_day`` over all days is kept whole. Days are few and a target is one small
     row, but a hot (bot, day) group is still ranked after a pre-selection by hash: rows whose hash already ranks beyond
     the cap within their own slice of the group cannot be chosen and are dropped before the final ranking.
     """
-    order = F.xxhash64(F.lit(seed), "bot", "repo", "number")
-    keyed = found.withColumn("h", order).withColumn("slice", F.pmod("h", F.lit(32)))
+    order = F.lit(0) if seed is None else F.xxhash64(F.lit(seed), "bot", "repo", "number")
+    keyed = found.withColumn("h", order).withColumn("slice", F.pmod(F.xxhash64("repo", "number"), F.lit(32)))
     ties = ["h", "repo", "number"]
     first = keyed.withColumn("rs", F.row_number().over(Window.partitionBy("bot", "first_day", "slice").orderBy(*ties))).where(F.col("rs") <= per_day)
     ranked = first.withColumn("rn", F.row_number().over(Window.partitionBy("bot", "first_day").orderBy(*ties)))

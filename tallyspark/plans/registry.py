@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core_problems"]
+MODULES = ["core_problems", "serving", "pipeline", "benchmark"]
 
 
 def collect() -> tuple[dict, dict]:
