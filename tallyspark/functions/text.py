@@ -51,7 +51,7 @@ def same_sha(a: Column, b: Column) -> Column:
 def unfenced(text: Column) -> Column:
     """Content of the first code fence, or the text itself."""
     pattern = r"(?s)```[A-Za-z]*\s*(.*?)```"
-    return F.trim(F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text))
+    return F.regexp_replace(F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text), r"^\s+|\s+$", "")
 
 
 def safe_model_name(name: Column) -> Column:

@@ -73,4 +73,4 @@ def file_text(status: Column, name: Column, additions: Column, deletions: Column
 
 def bug_types(given: Column, count: Column) -> Column:
     """Types by position for ``count`` comments; missing ones are ``not_labeled``."""
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.coalesce(F.try_element_at(given, i.cast("int")), F.lit("not_labeled")))).otherwise(F.array().cast("array<string>"))
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.coalesce(F.try_element_at(given, i.cast("int")), F.lit("not_labeled")))).otherwise(F.array().cast("array<string>"))
