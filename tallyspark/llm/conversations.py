@@ -160,22 +160,18 @@ def _judge_large(rows: DataFrame) -> DataFrame:
     replies to none (or nothing). Comments that still move after as many rounds as their number can need lie on a
     cycle. Turn numbers come from a range partitioning in order plus the counts of the partitions before.
     """
-    nodes = cut_lineage(rows.select("thread_id", F.col("comment_id").alias("node"), F.col("parent_id").alias("up"), F.lit(1).cast("bigint").alias("depth")))
+    # up: where the walk stands, null once it has ended; depth: steps made, -1 if it ended nowhere
+    start = F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint")
+    nodes = cut_lineage(rows.select("thread_id", F.col("comment_id").alias("node"), F.col("parent_id").alias("up"), start.alias("depth")))
     limit = nodes.count().bit_length() + 1
     for _ in range(limit):
         moving = nodes.where("up is not null")
         if not moving.limit(1).count():
             break
-        # a comment that replies to none is its own end: up becomes null and end_node says where the walk ended
-        hop = nodes.select("thread_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.lit(True).alias("there"))
-        walked = moving.join(hop, ["thread_id", "up"], "left")
-        broken = F.col("there").isNull()
-        walked = walked.select(
-            "thread_id", "node", F.when(~broken, F.col("next")).alias("up"), F.when(broken, F.lit(-1)).when(F.col("next").isNull(), F.when(F.col("more") < 0, -1).otherwise(F.col("depth") + F.col("more") - 1)).otherwise(F.col("depth") + F.col("more")).alias("depth"),
-            (broken | (F.col("next").isNull() & (F.col("more") < 0))).alias("lost"),
-        )
-        ended = nodes.where("up is null").withColumn("lost", F.col("depth") < 0)
-        nodes = cut_lineage(walked.unionByName(ended).select("thread_id", "node", "up", F.when(F.col("lost"), -1).otherwise(F.col("depth")).alias("depth")))
+        hop = nodes.select("thread_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        lost = F.col("more").isNull() | (F.col("more") < 0)
+        walked = moving.join(hop, ["thread_id", "up"], "left").select("thread_id", "node", F.when(~lost, F.col("next")).alias("up"), F.when(lost, -1).otherwise(F.col("depth") + F.col("more")).alias("depth"))
+        nodes = cut_lineage(walked.unionByName(nodes.where("up is null")))
     ends = nodes.select("thread_id", F.col("node").alias("comment_id"), (F.col("up").isNull() & (F.col("depth") >= 0)).alias("led"), "depth")
     full = rows.join(ends, ["thread_id", "comment_id"])
     voices = F.when(F.col("has_text"), F.col("speaker"))
@@ -189,7 +185,7 @@ def _judge_large(rows: DataFrame) -> DataFrame:
     number = part.withColumn("k", F.row_number().over(Window.partitionBy("part", "thread_id").orderBy("at_us", "comment_id")))
     before = part.groupBy("thread_id", "part").count()
     before = before.select("thread_id", "part", (F.sum("count").over(Window.partitionBy("thread_id").orderBy("part")) - F.col("count")).alias("before"))
-    return number.join(before, ["thread_id", "part"]).select("thread_id", (F.col("k") + F.col("before")).cast("bigint").alias("turn_no"), "comment_id", F.col("role").alias("speaker_role"), (F.col("depth") - 1).cast("bigint").alias("depth"))
+    return number.join(before, ["thread_id", "part"]).select("thread_id", (F.col("k") + F.col("before")).cast("bigint").alias("turn_no"), "comment_id", F.col("role").alias("speaker_role"), F.col("depth").cast("bigint").alias("depth"))
 
 
 def conversations(comments: DataFrame, timeline: DataFrame, prs: DataFrame, bots: DataFrame, task_rows: int = 200_000) -> DataFrame:

@@ -65,7 +65,7 @@ v AS (SELECT chatbot_id, 'precision' AS measure, day, CAST(p AS DOUBLE) AS value
 
 SQL = {
     "p8_statistics": r"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS words FROM documents)
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents)
 SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, CAST(len(words) AS INTEGER) AS n_words,
  round(coalesce(list_sum(list_transform(words, lambda x: length(x))) / nullif(len(words), 0), 0), 6) AS mean_word_len,
  round(coalesce((length(t) - length(regexp_replace(t, '\p{N}+', '', 'g'))) / nullif(length(t), 0), 0), 6) AS digit_share,
