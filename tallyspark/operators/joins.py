@@ -17,3 +17,12 @@ def sized_join(big: DataFrame, small: DataFrame, key: str, spread: Column, how:
         return big.join(F.broadcast(small), key, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("__salt", F.pmod(F.hash(spread), F.lit(salts))).join(salted, [key, "__salt"], how).drop("__salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer splits than the cluster has cores; larger inputs stay as read.
+
+    Meant before narrow, compute-bound passes: a few small files would otherwise leave most cores idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
