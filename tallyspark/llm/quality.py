@@ -17,16 +17,18 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.boosting import Boosted, Platt
 from tallyspark.llm.quality_samples import HOLDOUT, generated
+from tallyspark.operators.joins import spread
 from tallyspark.session import ship_package
 
 KINDS = ("list", "table", "junk")
-SAMPLE_ROWS = 6_000  # bound of the corpus sample used for fitting
+SAMPLE_ROWS = 4_000  # bound of the corpus sample used for fitting
 #: Line patterns. A list item is short and marked, or a short "name: what to do"; cells of a table row are short.
 _BULLET = r"^\s*(?:[-*+•‣◦▪·–—]\s|\(?\d{1,3}[.)]\s|\[[ xX]\]\s|[a-zA-Z][.)]\s)\s*\S"
 _COLON = r"^\s*(?:[\p{L}\p{N}_./-]+\s+){0,4}[\p{L}\p{N}_./-]+:\s"
 _FRAME = r"^\s*\|.*\|\s*$|^\s*\+[-=+]+\+\s*$|(?i)^\s*</?(?:table|tr|td|th|thead|tbody)\b"
 _ROW = r"^\s*\|?(?:[^|]{0,60}\|){2,}[^|]{0,60}$|^[^,;\t]{0,60}([,;\t])(?! )(?:[^,;\t]{0,60}\1(?! ))+[^,;\t]{0,60}$|^(?:\S{1,60}(?: \S{1,30}){0,3}(?: {2,}|\t)){2,}\S|^\S{1,60} {2,}[0-9.]+\s*$"
 _END = r"[.!?…:。！？：][\"'»”’)\]`*_]*\s*$"
+_BREAK = r"\r\n|[\n\r\x0B\f\x85\u2028\u2029]"
 _ITEM_CHARS = 100  # a longer line is no short item
 
 
@@ -46,17 +48,21 @@ def with_statistics(docs: DataFrame, common_words: Sequence[str], text: str = "t
     """
     keep = list(docs.columns)
     t = F.coalesce(F.col(text), F.lit(""))
-    words = F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
-    lines = F.filter(F.split(t, r"\r\n|[\n\r\x0B\f\u0085  ]"), lambda x: x.rlike(r"[^\s\p{Z}\p{C}]"))
-    cut = docs.select(*keep, t.alias("t"), words.alias("words"), lines.alias("lines"))
-    latin = [w.lower() for w in common_words if w and w.isascii() or w and not _is_kana(w)]
+    lines = F.filter(F.split(t, _BREAK), lambda x: x.rlike(r"[^\s\p{Z}\p{C}]"))
+    latin = [w.lower() for w in common_words if w and not _is_kana(w)]
     kana = sorted({w for w in common_words if w and _is_kana(w)}, key=lambda w: (-len(w), w))
     known = sorted(set(latin)) or [""]
     kept = lambda drop: F.char_length(F.regexp_replace("t", drop, ""))  # noqa: E731 - runs are dropped at once: fewer matches than characters
+    # each step of a line is computed once and handed on in a struct: lambda bodies share no subexpressions
+    cut = docs.select(*keep, t.alias("t"), lines.alias("lines")).withColumn(
+        "l", F.transform("lines", lambda x: F.struct(x.alias("x"), F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w")))
+    )
+    cut = cut.withColumn("words", F.flatten(F.transform("l", lambda s: s.w)))
+    cut = cut.withColumn("l", F.transform("l", lambda s: F.struct(s.x.alias("x"), F.size(s.w).alias("nw"), F.size(F.filter(s.w, lambda w: w.isin(known))).alias("nc"))))
+    tags = F.transform("l", lambda s: F.struct(_line_kind(s.x, s.nw, s.nc).alias("k"), F.char_length(s.x).alias("n"), F.regexp_count(s.x, F.lit(r"[,;\t|]")).alias("d"), s.nc.alias("c")))
     base = cut.select(
-        *keep, "t", "words", "lines",
+        *keep, "t", "words", "lines", tags.alias("tags"), F.array_join("words", " ").alias("wt"),
         F.char_length("t").alias("n_chars"), F.size("words").alias("n_words"), F.size("lines").alias("n_lines"),
-        F.size(F.filter("words", lambda w: w.isin(known))).alias("__common"),
         F.regexp_count("t", F.lit("|".join(kana) or r"\b\B")).alias("__kana_words"),
         kept(r"[^\p{L}]+").alias("__letters"),
         kept(r"[^\p{IsHiragana}]+").alias("__hira"),
@@ -67,14 +73,12 @@ def with_statistics(docs: DataFrame, common_words: Sequence[str], text: str = "t
         F.regexp_count("t", F.lit(r"[.!?。！？](?:\s|$|[^\x00-\x7F])")).alias("__stops"),
     )
     chars, n_words, n_lines = F.col("n_chars"), F.col("n_words"), F.col("n_lines")
-    tags = F.transform("lines", lambda x: F.struct(_line_kind(x, known).alias("k"), F.char_length(x).alias("n"), F.regexp_count(x, F.lit(r"[,;\t|]")).alias("d")))
-    base = base.withColumn("tags", tags)
     total = F.aggregate("tags", F.lit(0), lambda a, x: a + x.n)
     chars_of = lambda kinds: _share(F.aggregate(F.filter("tags", lambda x: x.k.isin(kinds)), F.lit(0), lambda a, x: a + x.n), total)
     middle = F.try_element_at("tags", F.floor(F.size("tags") / 2).cast("int") + 1)["d"]
     stats = {
-        "mean_word_len": _share(F.aggregate("words", F.lit(0), lambda a, w: a + F.char_length(w)), n_words),
-        "common_share": _share(F.col("__common") + F.col("__kana_words"), F.greatest(n_words, F.col("__kana_words"))),
+        "mean_word_len": _share(F.col("__letters") + F.col("__digits"), n_words),
+        "common_share": _share(F.aggregate("tags", F.lit(0), lambda a, x: a + x.c) + F.col("__kana_words"), F.greatest(n_words, F.col("__kana_words"))),
         "symbol_share": _share(chars - F.col("__letters") - F.col("__digits") - F.col("__spaces"), chars),
         "digit_share": _share(F.col("__digits"), chars),
         "letter_share": _share(F.col("__letters"), chars),
@@ -89,8 +93,8 @@ def with_statistics(docs: DataFrame, common_words: Sequence[str], text: str = "t
         "percent_share": _share(F.regexp_count("t", F.lit("%[0-9A-Fa-f]{2}")) * 3, chars),
         "mixed_share": _share(F.regexp_count("t", F.lit(r"(?i)\b(?=[a-z]*\d)(?=\d*[a-z])[a-z\d]{6,}\b")), n_words),
         "hex_share": _share(F.regexp_count("t", F.lit(r"\b[0-9a-f]{2}\b|\b[0-9a-f]{8}\b")), n_words),
-        "vowelless": _share(F.size(F.filter("words", lambda w: w.rlike(r"^[b-df-hj-np-tv-xz]{4,}$"))), n_words),
-        "number_words": _share(F.size(F.filter("words", lambda w: w.rlike(r"^\p{N}+$"))), n_words),
+        "vowelless": _share(F.regexp_count("wt", F.lit(r"(?<![^ ])[b-df-hj-np-tv-xz]{4,}(?![^ ])")), n_words),
+        "number_words": _share(F.regexp_count("wt", F.lit(r"(?<![^ ])\p{N}+(?![^ ])")), n_words),
         "comma_rate": _share(F.col("__commas"), n_words),
         "stop_rate": _share(F.col("__stops") * 10, n_words),
         "repeated_sign": _share(chars - F.char_length(F.regexp_replace("t", r"([^\p{L}\p{N}\s])\1{3,}", "")), chars),
@@ -111,16 +115,12 @@ def with_statistics(docs: DataFrame, common_words: Sequence[str], text: str = "t
     return base.select(*keep, *[s.alias(n) for n, s in stats.items()], "n_words", "n_lines", "n_chars")
 
 
-def _line_kind(x: Column, known: Sequence[str]) -> Column:
+def _line_kind(x: Column, n_words: Column, n_common: Column) -> Column:
     """``frame`` or ``row`` of a table, ``item`` or ``named`` item of a list, ``flow`` for running text, or ``other``."""
-    words = F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    common = F.size(F.filter(words, lambda w: w.isin(list(known))))
     kana = F.char_length(F.regexp_replace(x, r"[^\p{IsHiragana}]+", ""))
     short = F.char_length(x) <= _ITEM_CHARS
-    flow = (F.size(words) >= 4) & (common * 10 >= F.size(words)) | (kana * 5 >= F.char_length(x))
-    return (
-        F.when(x.rlike(_FRAME), "frame").when(short & x.rlike(_BULLET), "item").when(short & x.rlike(_COLON), "named").when(flow, "flow").when(x.rlike(_ROW), "row").otherwise("other")
-    )
+    flow = (n_words >= 4) & (n_common * 10 >= n_words) | (kana * 5 >= F.char_length(x))
+    return F.when(x.rlike(_FRAME), "frame").when(short & x.rlike(_BULLET), "item").when(short & x.rlike(_COLON), "named").when(flow, "flow").when(x.rlike(_ROW), "row").otherwise("other")
 
 
 def _is_kana(word: str) -> bool:
@@ -197,10 +197,12 @@ def structural_documents(docs: DataFrame, common: DataFrame) -> DataFrame:
     words = [r.word for r in common.where("word is not null").select("word").distinct().limit(10_000).collect()]
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, words))
 
-    @F.pandas_udf("string")
-    def kind(*columns: pd.Series) -> pd.Series:
+    def score(*columns: pd.Series) -> pd.Series:
         return pd.Series(model.value.kinds(np.column_stack([c.to_numpy(float) for c in columns])), dtype=object)
 
-    real = docs.where(F.col("text").rlike(r"[^\s\p{Z}\p{C}]"))
-    scored = with_statistics(real.select("doc_id", "text"), words).select("doc_id", kind(*FEATURES).alias("kind"))
+    # declared non-deterministic so that the filter on its result is not pushed below, which would compute it all twice
+    kind = F.pandas_udf(score, "string").asNondeterministic()
+
+    real = spread(docs.where(F.col("text").rlike(r"[^\s\p{Z}\p{C}]")).select("doc_id", "text"))
+    scored = with_statistics(real, words).select("doc_id", kind(*FEATURES).alias("kind"))
     return scored.where("kind is not null")
