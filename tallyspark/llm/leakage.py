@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators.joins import spread
 from tallyspark.session import ship_package
 
 #: Characters that do not show and so do not end a word: format and control characters (line ends and tabs apart),
@@ -214,6 +215,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 28, per: int
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), out_type.types)], schema=out_type)
 
-        part = docs.where(F.length("text") >= 2 * (min_words - min_words // per) - 1).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, schema)
+        part = docs.where(F.length("text") >= 2 * (min_words - min_words // per) - 1).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        part = spread(part).mapInArrow(scan, schema)
         found = part if found is None else found.unionByName(part)
     return found.dropDuplicates(["doc_id", "item_id"])

@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tallyspark.operators.joins import spread
 from tallyspark.session import ship_package
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -194,4 +195,4 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = bpe.encode_batch(part.column(1).to_pylist())
                 yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], schema=out_type)
 
-    return df.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` bigint, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(encode, f"`{id_col}` bigint, ids array<int>")
