@@ -129,11 +129,22 @@ class Matcher:
         low, high, own = reach[0][0], reach[0][1], []
         for a, b, p, at in reach:
             if a > high:
-                yield low, high, own
+                yield from self._parts(low, high, own, n + 2 * slack)
                 low, high, own = a, b, []
             high = max(high, b)
             own.append((p, at))
-        yield low, high, own
+        yield from self._parts(low, high, own, n + 2 * slack)
+
+    @staticmethod
+    def _parts(low: int, high: int, own: list, reach: int) -> Iterator[tuple[int, int, list]]:
+        """A long stretch in parts that overlap by more than any passage, so that memory stays bounded."""
+        if high - low <= 8 * reach:
+            yield low, high, own
+            return
+        for a in range(low, high, 6 * reach):
+            inside = [(p, at) for p, at in own if a <= p < a + 8 * reach]
+            if inside:
+                yield a, min(high, a + 8 * reach), inside
 
     def _covered(self, own: list[tuple[int, int]]) -> int:
         at = np.unique([a for _, a in own])
@@ -142,40 +153,38 @@ class Matcher:
     def _align(self, words: np.ndarray, doc: np.ndarray) -> tuple[int, int, int] | None:
         """First and last document word of a passage and its number of item words, or None.
 
-        ``length[i, j]`` is the most item words of an alignment that ends at item word i and document word j with at
-        most e errors; it opens and closes with an equal word. Rows are item words, e grows until the rate admits one.
+        A cell (item word i, document word j) holds the most item words of an alignment that ends there with at most e
+        errors; it opens and closes with an equal word. e grows until the rate admits an alignment. Cells are laid out
+        by diagonals (column k = j - i + n), so equal words continue straight down, and one running maximum per column,
+        restarted at every unequal pair, fills all cells of an e at once. A cell's number is its length times ``b``
+        plus the document word at which the alignment opens.
         """
         n, w = len(words), len(doc)
-        equal = np.zeros((n + 1, w + 1), bool)
-        equal[1:, 1:] = words[:, None] == doc[None, :]
-        prev_len = prev_from = None
+        b = w + 2
+        i = np.arange(n + 1)[:, None]
+        j = np.arange(n + w + 1)[None, :] - n + i
+        inside = (j >= 0) & (j <= w)
+        equal = np.zeros((n + 1, n + w + 1), bool)
+        equal[1:] = inside[1:] & (j[1:] > 0)
+        equal[1:] &= words[:, None] == doc[np.clip(j[1:] - 1, 0, w - 1)]
+        closed = np.where(inside, j, 0)  # length 0: an alignment may open behind this word
+        apart = 4 * (n + 2) * b * np.cumsum(~equal, axis=0)
+        down = b * i
+        cell = None
         for e in range(n // self.per + 1):
-            length = np.zeros((n + 1, w + 1), np.int32)
-            start = np.zeros((n + 1, w + 1), np.int32)
-            if e:
-                base, base_from = np.zeros_like(length), np.zeros_like(start)
-                moves = ((prev_len[:-1, :-1], prev_from[:-1, :-1], (slice(1, None), slice(1, None)), 1), (prev_len[:-1], prev_from[:-1], (slice(1, None), slice(None)), 1), (prev_len[:, :-1], prev_from[:, :-1], (slice(None), slice(1, None)), 0))
-                for src, src_from, to, gain in moves:
-                    cand = np.where(src > 0, src + gain, 0)
-                    better = cand > base[to]
-                    base[to] = np.where(better, cand, base[to])
-                    base_from[to] = np.where(better, src_from, base_from[to])
-            cols = np.arange(w + 1)
-            for i in range(1, n + 1):
-                run = length[i - 1, :-1]
-                grown = np.where(equal[i, 1:], run + 1, 0)
-                origin = np.where(run > 0, start[i - 1, :-1], cols[:-1])
-                if e:
-                    worse = base[i, 1:] > grown
-                    grown = np.where(worse, base[i, 1:], grown)
-                    origin = np.where(worse, base_from[i, 1:], origin)
-                length[i, 1:], start[i, 1:] = grown, origin
-            closed = np.where(equal, length, 0)
-            top = int(closed.argmax())
-            i, j = divmod(top, w + 1)
-            if closed[i, j] >= max(self.min_words, self.per * e):
-                return int(start[i, j]), j - 1, int(closed[i, j])
-            prev_len, prev_from = length, start
+            base = closed.copy()
+            if cell is not None:
+                open_ = np.where(cell >= b, cell, -b)
+                np.maximum(base[1:], open_[:-1] + b, out=base[1:])  # replaced
+                np.maximum(base[1:, :-1], open_[:-1, 1:] + b, out=base[1:, :-1])  # dropped
+                np.maximum(base[:, 1:], open_[:, :-1], out=base[:, 1:])  # added
+                base[~inside] = 0
+            cell = np.maximum.accumulate(base - down + apart, axis=0) - apart + down
+            ends = np.where(equal, cell, 0)
+            top = int(ends.argmax())
+            length, first = divmod(int(ends.flat[top]), b)
+            if length >= max(self.min_words, self.per * e):
+                return first, int(j.flat[top]) - 1, length
         return None
 
 
