@@ -82,6 +82,40 @@ def roles(timeline: DataFrame, target: Column) -> DataFrame:
     return timeline.where(own & role.isNotNull()).groupBy("pr_id").agg(F.array_sort(F.collect_set(role)).alias("roles"))
 
 
+def name_key(name: str) -> Column:
+    """Names are the same if they agree without letter case, outer blanks and a final ``[bot]``."""
+    return F.regexp_replace(F.lower(F.trim(name)), r"\[bot\]$", "")
+
+
+def target_stats(prs: DataFrame, timeline: DataFrame, threads: DataFrame) -> DataFrame:
+    """Counts of every pull request of ``prs(pr_id, target)`` (unique per pull request), each with its own target.
+
+    ``timeline`` is enriched with threads. Reviews count among the target's comments; threads and resolved threads are
+    those of ``threads(pr_id, thread_id, is_resolved)``. A pull request without events or threads has zeros.
+    """
+    own, kind = name_key("actor") == name_key("target"), F.col("event_type")
+    events = timeline.join(prs.select("pr_id", "target"), "pr_id").groupBy("pr_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_if(kind == "commit").alias("n_commits"), F.count_if(own & (kind == "review_comment")).alias("n_target_review_comments"),
+        F.count_if(own & kind.isin("review_comment", "issue_comment", "review")).alias("n_target_comments"),
+    )
+    kept = threads.groupBy("pr_id").agg(F.count_distinct("thread_id").alias("n_threads"), F.count_distinct(F.when(F.col("is_resolved"), F.col("thread_id"))).alias("n_resolved"))
+    both = prs.select("pr_id").join(events, "pr_id", "left").join(kept, "pr_id", "left")
+    return both.select("pr_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in both.columns if c != "pr_id"])
+
+
+def target_roles(prs: DataFrame, timeline: DataFrame) -> DataFrame:
+    """``pr_id, roles``: as :func:`roles`, for every pull request of ``prs(pr_id, target, pr_author)`` and its own target.
+
+    The author is ``pr_author``, whoever opened it; no role gives an empty array.
+    """
+    kind = F.col("event_type")
+    role = F.when(kind.isin("review", "review_comment"), "reviewer").when(kind == "issue_comment", "commenter")
+    acted = timeline.join(prs.select("pr_id", "target"), "pr_id").where((name_key("actor") == name_key("target")) & role.isNotNull()).select("pr_id", role.alias("role"))
+    wrote = prs.where(name_key("pr_author") == name_key("target")).select("pr_id", F.lit("author").alias("role"))
+    found = acted.unionByName(wrote).groupBy("pr_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    return prs.select("pr_id").join(found, "pr_id", "left").select("pr_id", F.coalesce("roles", F.array().cast("array<string>")).alias("roles"))
+
+
 def diff_lines(details: Column) -> Column:
     """Sum of additions and deletions over all files of all commits; NULL counts as 0."""
     files = F.flatten(F.transform(details, lambda c: F.coalesce(c.files, F.array().cast("array<struct<filename:string,status:string,additions:bigint,deletions:bigint>>"))))

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions.jsonx import parse_strict, unwrap
 from tallyspark.operators import discovery as disc
 from tallyspark.operators import lifecycle as life
 from tallyspark.operators import outcomes as out
@@ -139,6 +140,31 @@ def timeline_roles(spark, d):
     return tline.roles(_timeline(spark, d), F.lit("quillwarden")).select("pr_id", F.array_join("roles", ",").alias("roles"))
 
 
+def _bots(spark, d):
+    """Pull requests with their own bot: ``pr_id, target, pr_author``; there are 30 bots."""
+    bots = table(spark, d, "chatbots").select(F.col("id").alias("chatbot_id"), F.col("github_username").alias("target"))
+    return v.prs(spark, d).select(F.col("id").alias("pr_id"), "chatbot_id", "pr_author").join(F.broadcast(bots), "chatbot_id", "left").drop("chatbot_id")
+
+
+def _events(spark, d):
+    """The timeline from complete JSON in whatever form it is stored, with the commits that reviews and comments name."""
+    t = v.timeline(spark, d).withColumn("doc", unwrap(parse_strict(F.col("data"))))
+    part = lambda name, kind: F.try_variant_get("doc", f"$.{name}", kind).alias(name)
+    return t.select("pr_id", "ts", "event_type", "actor", part("comment_id", "bigint"), part("order_index", "int"), *[part(n, "string") for n in ("sha", "commit_id", "original_commit_id", "body")])
+
+
+def _enriched(spark, d):
+    return tline.enrich_with_threads(_events(spark, d), tline.thread_comments(table(spark, d, "review_threads")))
+
+
+def timeline_stats_by_bot(spark, d):
+    return tline.target_stats(_bots(spark, d), _enriched(spark, d), table(spark, d, "review_threads"))
+
+
+def timeline_roles_by_bot(spark, d):
+    return tline.target_roles(_bots(spark, d), _enriched(spark, d)).select("pr_id", F.array_join("roles", ",").alias("roles"))
+
+
 def thread_enrich(spark, d):
     enriched = tline.enrich_with_threads(_timeline(spark, d), tline.thread_comments(table(spark, d, "review_threads")))
     return enriched.where("event_type = 'review_comment'").groupBy("pr_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("is_resolved", F.lit(False))).alias("n_resolved"), F.count("body").alias("n_body"))
@@ -227,7 +253,7 @@ QUERIES = {
     "queue_unanalysed_topk": queue_unanalysed_topk, "queue_unlabelled_topk": queue_unlabelled_topk, "pending_distinct_from": pending_distinct_from, "insert_ignore": insert_ignore,
     "upsert_latest": upsert_latest, "lockable": lockable, "delete_cascade": delete_cascade, "size_gate": size_gate, "status_infer": status_infer, "status_current": status_current,
     "backfill_diff_lines": backfill_diff_lines, "incremental_merge": incremental_merge,
-    "timeline_stats": timeline_stats, "timeline_roles": timeline_roles, "thread_enrich": thread_enrich, "timeline_union_sorted": timeline_union_sorted, "review_dedupe": review_dedupe,
+    "timeline_stats": timeline_stats, "timeline_roles": timeline_roles, "timeline_stats_by_bot": timeline_stats_by_bot, "timeline_roles_by_bot": timeline_roles_by_bot, "thread_enrich": thread_enrich, "timeline_union_sorted": timeline_union_sorted, "review_dedupe": review_dedupe,
     "event_kinds": event_kinds, "diff_lines_nested": diff_lines_nested, "hash_x": hash_x, "pre_post_split": pre_post_split, "outcome_metrics": outcome_metrics,
     "suggestion_summary": suggestion_summary, "file_list_distinct": file_list_distinct, "commits_text": commits_text,
 }
