@@ -9,15 +9,17 @@ from tallyspark.functions.scores import f_beta
 from tallyspark.functions.text import same_sha
 
 
-def reviewed_commit(reviews: DataFrame, comments: DataFrame, commits: DataFrame, activity: DataFrame, bot: str) -> DataFrame:
+def reviewed_commit(reviews: DataFrame, comments: DataFrame, commits: DataFrame, activity: DataFrame, bot: str | Column) -> DataFrame:
     """``pr_id, sha``: the commit a bot's review looked at.
 
     In this order: commit of the bot's first review with one; original, else current, commit of its first review
     comment with one; last commit at or before its first activity; last commit. Names are compared without case, times
     as times. Inputs: reviews(pr_id, author, commit_id, at), comments(pr_id, author, original_commit_id, commit_id, at),
-    commits(pr_id, idx, sha, at), activity(pr_id, actor, at).
+    commits(pr_id, idx, sha, at), activity(pr_id, actor, at). ``bot`` is one name, or a column that reviews, comments
+    and activity carry for each pull request.
     """
-    mine = lambda c: F.lower(F.col(c)) == bot.lower()
+    name = F.lower(F.lit(bot) if isinstance(bot, str) else bot)
+    mine = lambda c: F.lower(F.col(c)) == name
     first_review = reviews.where(mine("author") & F.col("commit_id").isNotNull()).groupBy("pr_id").agg(F.min_by("commit_id", F.struct("at", "commit_id")).alias("by_review"))
     sha = F.coalesce("original_commit_id", "commit_id")
     first_comment = comments.where(mine("author") & sha.isNotNull()).groupBy("pr_id").agg(F.min_by(sha, F.struct(F.col("at"), sha.alias("s"))).alias("by_comment"))

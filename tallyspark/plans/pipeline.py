@@ -198,7 +198,11 @@ def diff_lines_nested(spark, d):
 
 
 def _commits(spark, d):
-    t = _timeline(spark, d).where("event_type = 'commit' and sha is not null").select("pr_id", F.coalesce("order_index", F.lit(0)).alias("order_index"), "sha", F.col("ts").alias("at"))
+    return _commits_of(_timeline(spark, d))
+
+
+def _commits_of(t):
+    t = t.where("event_type = 'commit' and sha is not null").select("pr_id", F.coalesce("order_index", F.lit(0)).alias("order_index"), "sha", F.col("ts").alias("at"))
     return t.groupBy("pr_id", "sha").agg(F.min(F.struct("order_index", "at")).alias("r")).select("pr_id", "sha", F.col("r.order_index").alias("idx"), F.col("r.at").alias("at"))
 
 
@@ -218,6 +222,22 @@ def pre_post_split(spark, d):
     return out.split_commits(_commits(spark, d), _reviewed(spark, d)).groupBy("pr_id").agg(F.count_if(~F.col("is_post")).alias("n_pre"), F.count_if("is_post").alias("n_post"))
 
 
+def _reviewed_by_bot(spark, d):
+    """Reviews and comments name a commit where their data does; the bot acts by reviews and comments."""
+    events = _events(spark, d)
+    bots = _bots(spark, d).select("pr_id", tline.name_key("target").alias("bot"))
+    t = events.where("event_type in ('review', 'review_comment', 'issue_comment')").join(bots, "pr_id").withColumns({"actor": tline.name_key("actor"), "author": tline.name_key("actor"), "at": F.col("ts")})
+    return out.reviewed_commit(t.where("event_type = 'review'"), t.where("event_type = 'review_comment'"), _commits_of(events), t, F.col("bot"))
+
+
+def hash_x_by_bot(spark, d):
+    return _reviewed_by_bot(spark, d).select("pr_id", F.substring("sha", 1, 10).alias("sha"))
+
+
+def pre_post_split_by_bot(spark, d):
+    return out.split_commits(_commits_of(_events(spark, d)), _reviewed_by_bot(spark, d)).groupBy("pr_id").agg(F.count_if(~F.col("is_post")).alias("n_pre"), F.count_if("is_post").alias("n_post"))
+
+
 def outcome_metrics(spark, d):
     """Comments of a thread as suggestions, replies as actions, reply links as matches."""
     c = v.comments(spark, d)
@@ -254,7 +274,7 @@ QUERIES = {
     "upsert_latest": upsert_latest, "lockable": lockable, "delete_cascade": delete_cascade, "size_gate": size_gate, "status_infer": status_infer, "status_current": status_current,
     "backfill_diff_lines": backfill_diff_lines, "incremental_merge": incremental_merge,
     "timeline_stats": timeline_stats, "timeline_roles": timeline_roles, "timeline_stats_by_bot": timeline_stats_by_bot, "timeline_roles_by_bot": timeline_roles_by_bot, "thread_enrich": thread_enrich, "timeline_union_sorted": timeline_union_sorted, "review_dedupe": review_dedupe,
-    "event_kinds": event_kinds, "diff_lines_nested": diff_lines_nested, "hash_x": hash_x, "pre_post_split": pre_post_split, "outcome_metrics": outcome_metrics,
+    "event_kinds": event_kinds, "diff_lines_nested": diff_lines_nested, "hash_x": hash_x, "pre_post_split": pre_post_split, "hash_x_by_bot": hash_x_by_bot, "pre_post_split_by_bot": pre_post_split_by_bot, "outcome_metrics": outcome_metrics,
     "suggestion_summary": suggestion_summary, "file_list_distinct": file_list_distinct, "commits_text": commits_text,
 }
 

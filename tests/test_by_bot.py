@@ -2,12 +2,14 @@
 
 import json
 import os
+from datetime import datetime
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tallyspark.operators import timeline
+from tallyspark.operators import outcomes, timeline
 from tallyspark.plans.registry import collect
 
 DATA = Path(os.environ.get("TALLYSPARK_TEST_DATA", "/root/testdata/sf0.001"))
@@ -66,3 +68,26 @@ def test_stats_and_roles_of_the_given_tables(spark):
  LEFT JOIN (SELECT pr_id, count(*) AS th, count(*) FILTER (is_resolved) AS rs FROM review_threads GROUP BY 1) USING (pr_id)""")
     same(spark, "timeline_roles_by_bot", con, """SELECT b.pr_id, concat_ws(',', CASE WHEN author = bot THEN 'author' END, CASE WHEN bool_or(kind = 'issue_comment') THEN 'commenter' END, CASE WHEN bool_or(kind IN ('review', 'review_comment')) THEN 'reviewer' END)
  FROM b LEFT JOIN e ON e.pr_id = b.pr_id AND e.actor = bot GROUP BY b.pr_id, author, bot""")
+
+
+def test_reviewed_commit_with_a_bot_per_pull_request(frame):
+    t = lambda n: datetime(2026, 1, n)
+    commits = frame([(p, i, f"{p}sha{i}", t(2 + 2 * i)) for p in (1, 2, 3, 4, 5) for i in range(3)], "pr_id int, idx int, sha string, at timestamp_ntz")
+    reviews = frame([(1, "b", "b", "1sha0", t(5)), (1, "b", "a", "1sha1", t(1))], "pr_id int, bot string, author string, commit_id string, at timestamp_ntz")
+    comments = frame([(2, "c", "c", None, "2sha1", t(3)), (2, "c", "b", "2sha0", None, t(1)), (5, "c", "C", "5sha0", "5sha1", t(1))], "pr_id int, bot string, author string, original_commit_id string, commit_id string, at timestamp_ntz")
+    activity = frame([(3, "a", "b", t(2)), (3, "a", "a", t(5)), (4, "a", "b", t(2))], "pr_id int, bot string, actor string, at timestamp_ntz")
+    got = outcomes.reviewed_commit(reviews, comments, commits, activity, F.col("bot"))
+    assert {r.pr_id: r.sha for r in got.collect()} == {1: "1sha0", 2: "2sha1", 3: "3sha1", 4: "4sha2", 5: "5sha0"}
+    split = outcomes.split_commits(commits, got).groupBy("pr_id").agg(F.count_if("is_post").alias("post"))
+    assert {r.pr_id: r.post for r in split.collect()} == {1: 2, 2: 1, 3: 1, 4: 0, 5: 2}
+
+
+@needs_data
+def test_reviewed_commits_of_the_given_tables(spark):
+    con = given()
+    con.execute("""CREATE TABLE c AS SELECT pr_id, sha, min(idx) AS idx, min_by(tm, (idx, tm)) AS tm FROM t WHERE kind = 'commit' AND sha IS NOT NULL GROUP BY 1, 2""")
+    con.execute("""CREATE TABLE h AS SELECT c.pr_id, coalesce(max_by(sha, CASE WHEN c.tm <= s.start THEN idx END), max_by(sha, idx)) AS sha FROM c LEFT JOIN
+ (SELECT t.pr_id, min(tm) AS start FROM t JOIN b ON b.pr_id = t.pr_id AND k(t.actor) = bot WHERE kind IN ('review', 'review_comment', 'issue_comment') GROUP BY 1) s ON s.pr_id = c.pr_id GROUP BY 1""")
+    same(spark, "hash_x_by_bot", con, "SELECT pr_id, substr(sha, 1, 10) FROM h")
+    same(spark, "pre_post_split_by_bot", con, """SELECT c.pr_id, count(*) FILTER (NOT coalesce(idx > cut, false)), count(*) FILTER (coalesce(idx > cut, false)) FROM c JOIN
+ (SELECT c.pr_id, min(idx) FILTER (c.sha = h.sha) AS cut FROM c JOIN h ON h.pr_id = c.pr_id GROUP BY 1) x ON x.pr_id = c.pr_id GROUP BY 1""")
