@@ -8,7 +8,7 @@ import numpy as np
 class Boosted:
     """Binary classifier; features are cut into quantile bins, trees grow level by level on gradient histograms."""
 
-    def __init__(self, trees: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 48, least: float = 3.0, ridge: float = 1.0):
+    def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, least: float = 3.0, ridge: float = 1.0):
         self.n_trees, self.depth, self.rate, self.bins, self.least, self.ridge = trees, depth, rate, bins, least, ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
@@ -69,7 +69,7 @@ class Boosted:
 
 
 class Platt:
-    """Probability of a margin: a logistic curve fitted by Newton steps on held-out, hand-checked labels."""
+    """Probability of a margin: a logistic curve fitted by Newton steps on held-out labels."""
 
     def fit(self, margin: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.05) -> Platt:
         y = y.astype(float)

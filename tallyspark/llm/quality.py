@@ -3,7 +3,7 @@
 All statistics are built-in column expressions over the whole text. Four gradient-boosted tree ensembles (prose, list,
 table and junk, each against the rest) are trained on statistics of weakly labelled texts: a bounded, hash-ordered sample of the
 corpus labelled by rules that only speak where they are sure, plus generated examples of every kind. Their margins are
-calibrated on a hand-checked holdout. Only the numbers, never the texts, leave the JVM for scoring.
+calibrated on a holdout of invented texts. Only the numbers, never the texts, leave the JVM for scoring.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from tallyspark.operators.joins import spread
 from tallyspark.session import ship_package
 
 KINDS = ("list", "table", "junk")
-SAMPLE_ROWS = 4_000  # bound of the corpus sample used for fitting
+SAMPLE_ROWS = 6_000  # bound of the corpus sample used for fitting
 #: Line patterns. A list item is short and marked, or a short "name: what to do"; cells of a table row are short.
 _BULLET = r"^\s*(?:[-*+•‣◦▪·–—]\s|\(?\d{1,3}[.)]\s|\[[ xX]\]\s|[a-zA-Z][.)]\s)\s*\S"
 _COLON = r"^\s*(?:[\p{L}\p{N}_./-]+\s+){0,4}[\p{L}\p{N}_./-]+:\s"
