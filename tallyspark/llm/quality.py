@@ -194,7 +194,7 @@ def structural_documents(docs: DataFrame, common: DataFrame) -> DataFrame:
     fitting alone. Repeated rows give repeated results only if ``doc_id`` repeats; an empty corpus gives none.
     """
     ship_package(docs.sparkSession)
-    words = [r.word for r in common.where("word is not null").select("word").distinct().limit(10_000).collect()]
+    words = [r.word for r in common.where("word is not null").select("word").distinct().collect()]
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, words))
 
     def score(*columns: pd.Series) -> pd.Series:
