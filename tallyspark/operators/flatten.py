@@ -95,7 +95,7 @@ def event_table(prs: DataFrame) -> DataFrame:
             ).alias("pr_number"),
         ),
     )
-    return evs.select("pr_id", F.inline(rows)).where("event_id is not null").dropDuplicates(["pr_id", "event_id"])
+    return evs.select("pr_id", F.inline(rows)).where("event_id is not null").transform(_first, ["pr_id", "event_id"])
 
 
 def label_table(prs: DataFrame) -> DataFrame:
@@ -110,12 +110,14 @@ def label_table(prs: DataFrame) -> DataFrame:
             ),
         )
     )
-    return evs.select("pr_id", F.inline(rows)).where("event_id is not null and label is not null").dropDuplicates(["pr_id", "event_id", "label"])
+    return evs.select("pr_id", F.inline(rows)).where("event_id is not null and label is not null").transform(_first, ["pr_id", "event_id", "label"])
 
 
 def with_files(timeline: DataFrame) -> DataFrame:
-    """``pr_id, event_id`` and ``names``: file names of ``data.files_detail`` (array, single object, or map by name)."""
-    data = timeline.where(F.col("data").contains("files_detail")).select("pr_id", "event_id", unwrap(unwrap(parse_strict(F.col("data")))).alias("data"))
+    """``pr_id, event_id``, ``files`` and ``names``: entries of ``data.files_detail`` (array, single object, or map by name)."""
+    # the key is written plainly, or with at least one escaped letter: all other texts are spared the parse
+    named = F.col("data").contains("files_detail") | F.col("data").contains("\\u")
+    data = timeline.where(named).select("pr_id", "event_id", unwrap(unwrap(parse_strict(F.col("data")))).alias("data"))
     detail = data.select("pr_id", "event_id", unwrap(F.try_variant_get("data", "$.files_detail", "variant")).alias("fd"))
     entries = as_array(F.col("fd"))
     single = scalar_text(F.col("fd"), "$.filename")
@@ -124,13 +126,66 @@ def with_files(timeline: DataFrame) -> DataFrame:
         .when(single.isNotNull(), F.array(single))
         .otherwise(F.map_keys(as_map(F.col("fd"))))
     )
-    return detail.select("pr_id", "event_id", names.alias("names"))
+    files = F.when(entries.isNotNull(), entries).when(single.isNotNull(), F.array("fd")).otherwise(F.map_values(as_map(F.col("fd"))))
+    return detail.select("pr_id", "event_id", names.alias("names"), files.alias("files"))
 
 
 def file_table(timeline: DataFrame) -> DataFrame:
-    """Flat table of files: ``pr_id, event_id, file_ix, file_name``."""
-    rows = F.transform("names", lambda n, i: F.struct(i.alias("file_ix"), n.alias("file_name")))
-    return with_files(timeline).select("pr_id", "event_id", F.inline(rows)).where("file_name is not null").dropDuplicates(["pr_id", "event_id", "file_name"])
+    """Flat table of files: ``pr_id, event_id, file_ix, file_name, status, additions, deletions``; of repeated names the first."""
+    rows = F.transform(
+        "names",
+        lambda n, i: F.struct(
+            i.alias("file_ix"), n.alias("file_name"), scalar_text(F.get("files", i), "$.status").alias("status"),
+            *[F.try_variant_get(F.get("files", i), f"$.{c}", "bigint").alias(c) for c in ("additions", "deletions")],
+        ),
+    )
+    keys = ["pr_id", "event_id", "file_name"]
+    return _first(with_files(timeline).select("pr_id", "event_id", F.inline(rows)).where("file_name is not null"), keys)
+
+
+def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the least by the other columns in their order; combines before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*[c if c in keys else F.col(f"__r.{c}").alias(c) for c in rows.columns])
+
+
+def payload_table(prs: DataFrame, part: str, texts: tuple[str, ...], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Flat table of one object of each event's payload: ``pr_id, event_ix, event_id, <part>_id`` and the fields named."""
+    evs = with_events(prs)
+    rows = F.transform(
+        F.filter("evs", lambda e: e.event_id.isNotNull()),
+        lambda e, i: F.struct(
+            i.alias("event_ix"), e.event_id.alias("event_id"), scalar_text(e.payload, f"$.{part}.id").alias(f"{part}_id"),
+            *[scalar_text(e.payload, f"$.{part}.{n}").alias(n) for n in texts], *[F.try_variant_get(e.payload, f"$.{part}.{n}", "bigint").alias(n) for n in numbers],
+        ),
+    )
+    keys = ["pr_id", "event_id", f"{part}_id"]
+    return _first(evs.select("pr_id", F.inline(rows)).where(F.col(f"{part}_id").isNotNull()), keys)
+
+
+def review_table(prs: DataFrame) -> DataFrame:
+    """Flat table of payload reviews: ``pr_id, event_ix, event_id, review_id, state, body, commit_id``."""
+    return payload_table(prs, "review", ("state", "body", "commit_id"))
+
+
+def comment_table(prs: DataFrame) -> DataFrame:
+    """Flat table of payload comments: ``pr_id, event_ix, event_id, comment_id, body, path, line``."""
+    return payload_table(prs, "comment", ("body", "path"), ("line",))
+
+
+def thread_comment_table(threads: DataFrame) -> DataFrame:
+    """Flat table of archived comments: ``pr_id, thread_id, comment_ix, comment_id, body, path, line, original_line, diff_hunk, author, created_at, n_reactions``.
+
+    A comment listed twice in its thread keeps its first place; reactions count where their number is above 0.
+    """
+    rows = F.transform(
+        "comments",
+        lambda c, i: F.struct(
+            i.alias("comment_ix"), c.id.alias("comment_id"), *[c[n].alias(n) for n in ("body", "path", "line", "original_line", "diff_hunk", "author", "created_at")],
+            F.coalesce(F.size(F.map_filter(c.reactions, lambda _, n: n > 0)), F.lit(0)).alias("n_reactions"),
+        ),
+    )
+    return _first(threads.select("pr_id", "thread_id", F.inline(rows)).where("thread_id is not null and comment_id is not null"), ["pr_id", "thread_id", "comment_id"])
 
 
 def file_links(timeline: DataFrame) -> DataFrame:
@@ -165,7 +220,7 @@ def reaction_table(threads: DataFrame) -> DataFrame:
             ),
         )
     )
-    return threads.select("pr_id", "thread_id", F.inline(rows)).where("n > 0 and comment_id is not null").dropDuplicates(["thread_id", "comment_id", "reaction"])
+    return threads.select("pr_id", "thread_id", F.inline(rows)).where("n > 0 and comment_id is not null").transform(_first, ["pr_id", "thread_id", "comment_id", "reaction"])
 
 
 def child_links(prs: DataFrame, timeline: DataFrame, threads: DataFrame) -> DataFrame:

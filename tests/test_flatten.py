@@ -45,6 +45,9 @@ def test_files_in_all_forms(frame):
         t = frame([(1, 2, json.dumps({"files_detail": value}))], "pr_id long, event_id long, data string")
         assert {(r.parent_id, r.child_id) for r in flatten.file_links(t).collect()} == {("2", "a.py")}, name
         assert [(r.event_id, r.file_name) for r in flatten.file_table(t).collect()] == [(2, "a.py")]
+    for text in (r'{"files\u005fdetail": [{"filename": "a.py"}]}', r'"{\"files\\u005fdetail\": [{\"filename\": \"a.py\"}]}"', r'"{\"\u0066iles_detail\": {\"filename\": \"a.py\"}}"'):
+        t = frame([(1, 2, text)], "pr_id long, event_id long, data string")
+        assert [r.child_id for r in flatten.file_links(t).collect()] == ["a.py"], text
     for value in ({}, [], None, 5, [{}]):
         t = frame([(1, 2, json.dumps({"files_detail": value})), (1, 3, None), (1, 4, '{"files_detail":[')], "pr_id long, event_id long, data string")
         assert flatten.file_links(t).collect() == []
@@ -64,3 +67,18 @@ def test_child_links_are_distinct(frame):
     prs = frame([(1, json.dumps([EVENT]), "x")] * 5, PRS)
     t = frame([], "pr_id long, event_id long, data string")
     assert len(flatten.child_links(prs, t, frame([], THREADS)).collect()) == len(CHILDREN)
+
+
+def test_payload_and_comment_tables(frame):
+    review = EVENT | {"payload": {"review": {"id": 5, "state": "approved", "body": None, "commit_id": "c1"}, "comment": {"id": 9, "body": "b", "path": "p", "line": "x"}}}
+    prs = frame([(1, json.dumps([review, review]), "x"), (2, json.dumps([EVENT | {"event_id": None}]), "x"), (3, None, None)], PRS)
+    assert [tuple(r) for r in flatten.review_table(prs).collect()] == [(1, 0, "7", "5", "approved", None, "c1")]
+    assert [tuple(r) for r in flatten.comment_table(prs).collect()] == [(1, 0, "7", "9", "b", "p", None)]
+    c = (4, "b", "p", 1, 2, "h", "a", "t", {"+1": 2, "EYES": 0})
+    t = frame([("T", 1, [c, c]), ("U", 1, []), (None, 1, [c]), ("V", 1, None)], THREADS)
+    assert [tuple(r) for r in flatten.thread_comment_table(t).collect()] == [(1, "T", 0, 4, "b", "p", 1, 2, "h", "a", "t", 1)]
+
+
+def test_files_keep_their_fields(frame):
+    t = frame([(1, 2, json.dumps({"files_detail": [{"filename": "a", "status": "added", "additions": 3, "deletions": "x"}, "b", {"filename": "a"}]}))], "pr_id long, event_id long, data string")
+    assert sorted(tuple(r) for r in flatten.file_table(t).collect()) == [(1, 2, 0, "a", "added", 3, None), (1, 2, 1, "b", None, None, None)]

@@ -67,20 +67,52 @@ def scene(frame, declared):
     return frame(prs, PRS), frame(events, EVENTS), frame(declared, ZONES), want
 
 
-def test_missing_zones_are_found_from_ingestion_times(frame):
-    prs, events, zones, want = scene(frame, [(1, "America/New_York"), (3, "Mars/Base"), (8, "Asia/Kolkata"), (9, "Europe/Berlin"), (None, "UTC"), (7, None)])
-    chosen = {r.bot: r.zone_name for r in timestamps.resolve_zones(timestamps.bot_stamps(prs, events), zones).collect()}
-    assert (chosen[1], chosen[2], chosen[3], chosen[8]) == ("America/New_York", "Asia/Kolkata", "Europe/Berlin", "Asia/Kolkata")
+def chosen_zones(prs, events, zones):
+    return {r.bot: r for r in timestamps.resolve_zones(timestamps.bot_stamps(prs, events), zones).collect()}
+
+
+def test_missing_and_wrong_zones_are_found_from_ingestion_times(frame):
+    _, _, history = timestamps.offset_histories()
+    prs, events, zones, want = scene(frame, [(1, "Asia/Tokyo"), (3, "Mars/Base"), (8, "Asia/Kolkata"), (9, "Europe/Berlin"), (None, "UTC"), (7, None)])
+    chosen = chosen_zones(prs, events, zones)
+    for bot, zone in {1: "America/New_York", 2: "Asia/Kolkata", 3: "Europe/Berlin"}.items():
+        assert history[chosen[bot].zone_name] == history[zone]
+        assert chosen[bot].n == 60 and chosen[bot].violations == 3  # the three late rows violate every zone
+    assert (chosen[8].zone_name, chosen[8].n, chosen[9].zone_name) == ("Asia/Kolkata", 0, "Europe/Berlin")
     got = {(r.table_name, r.record_id, r.field_name): r.epoch_us for r in timestamps.stamp_instants(prs, events, zones).collect()}
     assert {k: v for k, v in got.items() if k[0] != "prs"} == want
     assert got["prs", 2, "pr_created_at"] == us(2025, 2, 1, 4, 30)
 
 
-def test_declared_zone_yields_only_to_clear_evidence(frame):
-    prs, events, zones, _ = scene(frame, [(1, "America/New_York"), (2, "Europe/Berlin"), (3, "Europe/Berlin")])
-    few = events.where("event_id % 100 < 5")
-    keep = {r.bot: r.zone_name for r in timestamps.resolve_zones(timestamps.bot_stamps(prs, few), zones).collect()}
-    assert keep[2] == "Europe/Berlin"
+def test_a_zone_nobody_declares_is_a_candidate(frame):
+    prs, events, zones, want = scene(frame, [(b, "UTC") for b in (1, 2, 3)])
+    got = {(r.table_name, r.record_id, r.field_name): r.epoch_us for r in timestamps.stamp_instants(prs, events, zones).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "prs"} == want
+
+
+def test_declared_name_of_the_same_history_is_kept(frame):
+    prs, events, zones, _ = scene(frame, [(1, "US/Eastern"), (2, "Asia/Kolkata"), (3, "Europe/Paris")])
+    assert {b: r.zone_name for b, r in chosen_zones(prs, events, zones).items()} == {1: "US/Eastern", 2: "Asia/Kolkata", 3: "Europe/Paris"}
+
+
+def test_too_little_evidence_leaves_the_declared_zone(frame):
+    prs, events, zones, _ = scene(frame, [(1, "America/New_York"), (2, "Europe/Berlin")])
+    few = chosen_zones(prs, events.where("event_id % 100 < 5"), zones)
+    assert few[2].zone_name == "Europe/Berlin" and 3 not in few
+    # stamps that no zone explains: an undeclared source has no estimate, a declared one keeps its own
+    late = events.withColumn("ingested_at", F.expr("ingested_at + interval 40 days"))
+    odd = chosen_zones(prs, late, zones)
+    assert odd[2].zone_name == "Europe/Berlin" and 3 not in odd
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Africa/Casablanca", "Australia/Lord_Howe", "Asia/Kolkata"])
+def test_histories_agree_with_the_session_clock(spark, zone):
+    cuts, spans, history = timestamps.offset_histories()
+    walls = [w + d for w in cuts for d in (-900_000_000, 0, 900_000_000)]
+    df = spark.createDataFrame([(w,) for w in walls], "w long").select("w", timestamps._span(F.col("w"), cuts).alias("k"), wall_to_instant(F.col("w"), F.lit(zone)).alias("x"))
+    for r in df.collect():
+        assert r.k == sum(c <= r.w for c in cuts)
+        assert r.w - r.x == spans[history[zone]][r.k] * 60_000_000, r
 
 
 def test_deliveries_nulls_and_empty_tables(frame):

@@ -1,10 +1,9 @@
 import random
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators.tree_aggregate import heavy_keys, normal_repo, tree_aggregate
+from tallyspark.operators.tree_aggregate import NODE, heavy_keys, leaf_states, normal_repo, rounds, tree_aggregate
 
 
 
@@ -13,12 +12,12 @@ def _states():
     return [("n", "count", None), ("k", "count", v), ("s", "sum", v), ("lo", "min", v), ("hi", "max", v)]
 
 
-@pytest.mark.parametrize(("fan_in", "levels", "chunk"), [(2, 1, 1), (2, 4, 3), (8, 2, 65_536)])
-def test_equals_plain_aggregation_with_a_hot_key(frame, fan_in, levels, chunk):
+@pytest.mark.parametrize(("fan_in", "chunk"), [(2, 1), (3, 7), (8, 65_536)])
+def test_equals_plain_aggregation_with_a_hot_key(frame, fan_in, chunk):
     rng = random.Random(3)
     rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.choice([None, *range(9)]), "x") for _ in range(700)]
     df = frame(rows, "key string, v int, n string").repartition(7)  # n clashes with an output name
-    got = {r.key: (r.n, r.k, r.s, r.lo, r.hi) for r in tree_aggregate(df, ["key"], _states(), fan_in, levels, chunk).collect()}
+    got = {r.key: (r.n, r.k, r.s, r.lo, r.hi) for r in tree_aggregate(df, ["key"], _states(), fan_in, chunk).collect()}
     want = {}
     for key in {r[0] for r in rows}:
         own = [r[1] for r in rows if r[0] == key]
@@ -50,7 +49,21 @@ def test_repo_names(frame):
     assert [r.x for r in got] == [w for _, w in names]
 
 
-def test_no_reducer_gets_all_partials(frame):
-    df = frame([(1, i) for i in range(100)], "key int, v int").repartition(8)
-    plan = tree_aggregate(df, ["key"], _states(), 4, 3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("__tree_node") > 3 and Counter(plan.split())["Exchange"] >= 3
+def test_no_task_merges_more_than_fan_in_partials(spark):
+    df = spark.range(0, 50_000, numPartitions=8).select(F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("key"), F.col("id").alias("v"))
+    leaves = leaf_states(df, ["key"], _states(), chunk_rows=5)
+    assert leaves.where("key = 'hot'").count() == 10_000
+    levels, below = rounds(leaves, ["key"], _states(), fan_in=10), leaves
+    assert len(levels) == 4  # log10 of 10,000 chunks
+    for level in levels:
+        last = NODE not in level.columns
+        parents = below.groupBy("key", *([] if last else [F.floor(F.col(NODE) / 10)])).count()
+        assert parents.agg(F.max("count")).first()[0] <= 10
+        below = level
+    assert levels[-1].where("key = 'hot'").first().n == 33_333
+
+
+def test_the_input_is_read_once(spark, tmp_path):
+    spark.range(1000).select((F.col("id") % 7).alias("a"), F.lit("r").alias("b")).write.parquet(str(tmp_path / "t"))
+    plan = heavy_keys(spark.read.parquet(str(tmp_path / "t")), {"a": F.col("a"), "b": F.col("b")})._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and plan.count("Scan ExistingRDD") >= 2
