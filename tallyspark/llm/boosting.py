@@ -69,9 +69,12 @@ class Boosted:
 
 
 class Platt:
-    """Probability of a margin: a logistic curve fitted by Newton steps on held-out labels."""
+    """Probability of a margin: a logistic curve, given by slope and offset or fitted by Newton steps on held-out labels."""
 
-    def fit(self, margin: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.05) -> Platt:
+    def __init__(self, weights: tuple[float, float] = (0.5, 0.0)):
+        self.weights = np.array(weights)
+
+    def fit(self, margin: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.01) -> Platt:
         y = y.astype(float)
         hits = y.sum()
         target = np.where(y > 0, (hits + 1) / (hits + 2), 1 / (len(y) - hits + 2))

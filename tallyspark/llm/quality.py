@@ -1,137 +1,36 @@
-"""Text statistics per document and a classifier that tells running prose from lists, tables and junk.
+"""A classifier on document statistics that tells running prose from lists, tables and junk.
 
-All statistics are built-in column expressions over the whole text. Four gradient-boosted tree ensembles (prose, list,
-table and junk, each against the rest) are trained on statistics of weakly labelled texts: a bounded, hash-ordered sample of the
-corpus labelled by rules that only speak where they are sure, plus generated examples of every kind. Their margins are
-calibrated on a holdout of invented texts. Only the numbers, never the texts, leave the JVM for scoring.
+Four gradient-boosted tree ensembles (prose, list, table and junk, each against the rest) are trained on statistics of
+weakly labelled texts: a bounded, hash-ordered sample of the corpus labelled by rules that only speak where they are
+sure, plus generated examples of every kind. Their margins become chances by Platt scales fitted on documents that were
+read and labelled by hand. Every document is then measured and scored whole, in one narrow pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.boosting import Boosted, Platt
-from tallyspark.llm.quality_samples import HOLDOUT, generated
+from tallyspark.llm.quality_samples import INVENTED, generated
+from tallyspark.llm.statistics import FEATURES, TextStatistics, document_statistics
 from tallyspark.operators.joins import spread
 from tallyspark.session import ship_package
 
 KINDS = ("list", "table", "junk")
 SAMPLE_ROWS = 6_000  # bound of the corpus sample used for fitting
-#: Line patterns. A list item is short and marked, or a short "name: what to do"; cells of a table row are short.
-_BULLET = r"^\s*(?:[-*+•‣◦▪·–—]\s|\(?\d{1,3}[.)]\s|\[[ xX]\]\s|[a-zA-Z][.)]\s)\s*\S"
-_COLON = r"^\s*(?:[\p{L}\p{N}_./-]+\s+){0,4}[\p{L}\p{N}_./-]+:\s"
-_FRAME = r"^\s*\|.*\|\s*$|^\s*\+[-=+]+\+\s*$|(?i)^\s*</?(?:table|tr|td|th|thead|tbody)\b"
-_ROW = r"^\s*\|?(?:[^|]{0,60}\|){2,}[^|]{0,60}$|^[^,;\t]{0,60}([,;\t])(?! )(?:[^,;\t]{0,60}\1(?! ))+[^,;\t]{0,60}$|^(?:\S{1,60}(?: \S{1,30}){0,3}(?: {2,}|\t)){2,}\S|^\S{1,60} {2,}[0-9.]+\s*$"
-_END = r"[.!?…:。！？：][\"'»”’)\]`*_]*\s*$"
-_BREAK = r"\r\n|[\n\r\x0B\f\x85\u2028\u2029]"
-_ITEM_CHARS = 100  # a longer line is no short item
+#: Platt scales (slope, offset) of prose, list, table and junk: :func:`calibration` on the hand-checked documents.
+SCALES = ((0.686, 1.292), (0.743, 0.451), (0.583, 0.124), (0.575, 0.742))
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
-
-
-def _lines_like(pattern: str) -> Column:
-    return _share(F.size(F.filter("lines", lambda x: x.rlike(pattern))), F.size("lines"))
-
-
-def with_statistics(docs: DataFrame, common_words: Sequence[str], text: str = "text") -> DataFrame:
-    """``docs`` columns plus one column per statistic of :data:`FEATURES`, and ``n_words``, ``n_lines``, ``n_chars``.
-
-    Null, empty and blank texts have zero everywhere. Words are runs of letters and digits; ``common_words`` is a short,
-    fixed list of function words of all languages (160 here), compared without case.
-    """
-    keep = list(docs.columns)
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, _BREAK), lambda x: x.rlike(r"[^\s\p{Z}\p{C}]"))
-    latin = [w.lower() for w in common_words if w and not _is_kana(w)]
-    kana = sorted({w for w in common_words if w and _is_kana(w)}, key=lambda w: (-len(w), w))
-    known = sorted(set(latin)) or [""]
-    kept = lambda drop: F.char_length(F.regexp_replace("t", drop, ""))  # noqa: E731 - runs are dropped at once: fewer matches than characters
-    # each step of a line is computed once and handed on in a struct: lambda bodies share no subexpressions
-    cut = docs.select(*keep, t.alias("t"), lines.alias("lines")).withColumn(
-        "l", F.transform("lines", lambda x: F.struct(x.alias("x"), F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w")))
-    )
-    cut = cut.withColumn("words", F.flatten(F.transform("l", lambda s: s.w)))
-    cut = cut.withColumn("l", F.transform("l", lambda s: F.struct(s.x.alias("x"), F.size(s.w).alias("nw"), F.size(F.filter(s.w, lambda w: w.isin(known))).alias("nc"))))
-    tags = F.transform("l", lambda s: F.struct(_line_kind(s.x, s.nw, s.nc).alias("k"), F.char_length(s.x).alias("n"), F.regexp_count(s.x, F.lit(r"[,;\t|]")).alias("d"), s.nc.alias("c")))
-    base = cut.select(
-        *keep, "t", "words", "lines", tags.alias("tags"), F.array_join("words", " ").alias("wt"),
-        F.char_length("t").alias("n_chars"), F.size("words").alias("n_words"), F.size("lines").alias("n_lines"),
-        F.regexp_count("t", F.lit("|".join(kana) or r"\b\B")).alias("__kana_words"),
-        kept(r"[^\p{L}]+").alias("__letters"),
-        kept(r"[^\p{IsHiragana}]+").alias("__hira"),
-        (F.char_length("t") - kept(r"\s+")).alias("__spaces"),
-        (F.char_length("t") - kept(r"\p{N}+")).alias("__digits"),
-        kept(r"[^\p{Lu}]+").alias("__upper"),
-        F.regexp_count("t", F.lit(r"[,、;]")).alias("__commas"),
-        F.regexp_count("t", F.lit(r"[.!?。！？](?:\s|$|[^\x00-\x7F])")).alias("__stops"),
-    )
-    chars, n_words, n_lines = F.col("n_chars"), F.col("n_words"), F.col("n_lines")
-    total = F.aggregate("tags", F.lit(0), lambda a, x: a + x.n)
-    chars_of = lambda kinds: _share(F.aggregate(F.filter("tags", lambda x: x.k.isin(kinds)), F.lit(0), lambda a, x: a + x.n), total)
-    middle = F.try_element_at("tags", F.floor(F.size("tags") / 2).cast("int") + 1)["d"]
-    stats = {
-        "mean_word_len": _share(F.col("__letters") + F.col("__digits"), n_words),
-        "common_share": _share(F.aggregate("tags", F.lit(0), lambda a, x: a + x.c) + F.col("__kana_words"), F.greatest(n_words, F.col("__kana_words"))),
-        "symbol_share": _share(chars - F.col("__letters") - F.col("__digits") - F.col("__spaces"), chars),
-        "digit_share": _share(F.col("__digits"), chars),
-        "letter_share": _share(F.col("__letters"), chars),
-        "upper_share": _share(F.col("__upper"), F.col("__letters")),
-        "space_share": _share(F.col("__spaces"), chars),
-        "hiragana_share": _share(F.col("__hira"), F.col("__letters")),
-        "distinct_words": _share(F.size(F.array_distinct("words")), n_words),
-        "distinct_lines": _share(F.size(F.array_distinct("lines")), n_lines),
-        "distinct_chars": F.log1p(F.size(F.array_distinct(F.split("t", ""))).cast("double")),
-        "long_share": _share(chars - F.char_length(F.regexp_replace("t", r"[A-Za-z0-9+/=]{40,}", "")), chars),
-        "odd_share": _share(chars - kept(r"[^\x00-\x7F\p{L}\p{M}]+"), chars),
-        "percent_share": _share(F.regexp_count("t", F.lit("%[0-9A-Fa-f]{2}")) * 3, chars),
-        "mixed_share": _share(F.regexp_count("t", F.lit(r"(?i)\b(?=[a-z]*\d)(?=\d*[a-z])[a-z\d]{6,}\b")), n_words),
-        "hex_share": _share(F.regexp_count("t", F.lit(r"\b[0-9a-f]{2}\b|\b[0-9a-f]{8}\b")), n_words),
-        "vowelless": _share(F.regexp_count("wt", F.lit(r"(?<![^ ])[b-df-hj-np-tv-xz]{4,}(?![^ ])")), n_words),
-        "number_words": _share(F.regexp_count("wt", F.lit(r"(?<![^ ])\p{N}+(?![^ ])")), n_words),
-        "comma_rate": _share(F.col("__commas"), n_words),
-        "stop_rate": _share(F.col("__stops") * 10, n_words),
-        "repeated_sign": _share(chars - F.char_length(F.regexp_replace("t", r"([^\p{L}\p{N}\s])\1{3,}", "")), chars),
-        "punct_end": _lines_like(_END),
-        "bullets": _lines_like(_BULLET),
-        "flow_chars": chars_of(["flow"]),
-        "item_chars": chars_of(["item", "named"]),
-        "named_chars": chars_of(["named"]),
-        "row_chars": chars_of(["frame", "row"]),
-        "frame_chars": chars_of(["frame"]),
-        "other_chars": chars_of(["other"]),
-        "even_rows": F.when((n_lines > 2) & (middle > 1), _share(F.size(F.filter("tags", lambda x: x.d == middle)), n_lines)).otherwise(0.0),
-        "short_lines": _share(F.size(F.filter("tags", lambda x: x.n <= 60)), n_lines),
-        "mean_line": F.log1p(_share(chars, n_lines)),
-        "lines_log": F.log1p(n_lines.cast("double")),
-        "words_log": F.log1p(n_words.cast("double")),
-    }
-    return base.select(*keep, *[s.alias(n) for n, s in stats.items()], "n_words", "n_lines", "n_chars")
-
-
-def _line_kind(x: Column, n_words: Column, n_common: Column) -> Column:
-    """``frame`` or ``row`` of a table, ``item`` or ``named`` item of a list, ``flow`` for running text, or ``other``."""
-    kana = F.char_length(F.regexp_replace(x, r"[^\p{IsHiragana}]+", ""))
-    short = F.char_length(x) <= _ITEM_CHARS
-    flow = (n_words >= 4) & (n_common * 10 >= n_words) | (kana * 5 >= F.char_length(x))
-    return F.when(x.rlike(_FRAME), "frame").when(short & x.rlike(_BULLET), "item").when(short & x.rlike(_COLON), "named").when(flow, "flow").when(x.rlike(_ROW), "row").otherwise("other")
-
-
-def _is_kana(word: str) -> bool:
-    return all("぀" <= c <= "ヿ" or "一" <= c <= "鿿" for c in word)
-
-
-FEATURES = (
-    "mean_word_len common_share symbol_share digit_share letter_share upper_share space_share hiragana_share distinct_words distinct_lines distinct_chars long_share odd_share percent_share "
-    "mixed_share hex_share vowelless number_words comma_rate stop_rate repeated_sign punct_end bullets flow_chars item_chars named_chars row_chars frame_chars other_chars even_rows "
-    "short_lines mean_line lines_log words_log"
-).split()
+def common_words(common: DataFrame) -> list[str]:
+    """The distinct function words of a word list: a fixed, small table (160 rows here)."""
+    return sorted(r.word for r in common.where("word is not null").select("word").distinct().collect())
 
 
 def weak_labels(f: pd.DataFrame) -> np.ndarray:
@@ -140,7 +39,9 @@ def weak_labels(f: pd.DataFrame) -> np.ndarray:
     lines, words = np.expm1(f.lines_log), np.expm1(f.words_log)
     tabular = (f.row_chars > 0.6) | ((f.even_rows > 0.7) & (f.flow_chars < 0.1))
     plain = (f.letter_share > 0.6) & (f.digit_share < 0.25) & (f.vowelless < 0.1) & (f.hex_share < 0.1) & (f.long_share < 0.1) & (f.percent_share < 0.1)
-    y[((f.flow_chars > 0.75) & ((f.common_share > 0.1) | (f.hiragana_share > 0.2))).to_numpy()] = 0
+    phrases = ((f.phrase_chars > 0.7) & (lines > 3.5) & (f.wrapped_lines < 0.5) & (f.stop_rate < 0.05)) | ((f.comma_chars > 0.8) & (f.stop_rate < 0.5) & (words > 11))
+    y[((f.flow_chars > 0.75) & ((f.common_share > 0.1) | (f.hiragana_share > 0.2)) & ~phrases & (f.phrase_chars < 0.4)).to_numpy()] = 0
+    y[(phrases & (f.flow_chars > 0.5) & plain).to_numpy()] = 1
     y[((f.item_chars > 0.7) & (lines > 3.5) & (f.distinct_lines > 0.5)).to_numpy()] = 1
     y[((f.short_lines > 0.9) & (lines > 4.5) & (f.flow_chars < 0.1) & ~tabular & plain & (f.distinct_lines > 0.8) & (f.common_share < 0.1)).to_numpy()] = 1
     y[((f.comma_rate > 0.12) & (f.common_share < 0.04) & (f.distinct_words > 0.2) & (lines < 3.5) & plain & (f.flow_chars < 0.2) & (words > 11)).to_numpy()] = 1
@@ -158,11 +59,11 @@ def weak_labels(f: pd.DataFrame) -> np.ndarray:
 class QualityModel:
     """One calibrated ensemble per class; ``kinds`` gives the most likely one, None for prose."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray):
-        self.parts = []
-        for k in range(len(KINDS) + 1):
-            trees = Boosted().fit(x, y == k)
-            self.parts.append((trees, Platt().fit(trees.margin(held_x), held_y == k)))
+    def __init__(self, x: np.ndarray, y: np.ndarray, scales: Sequence[tuple[float, float]] = SCALES):
+        self.parts = [(Boosted().fit(x, y == k), Platt(scale)) for k, scale in enumerate(scales)]
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([trees.margin(x) for trees, _ in self.parts])
 
     def chances(self, x: np.ndarray) -> np.ndarray:
         """Calibrated chances of prose, list, table and junk, each against the rest."""
@@ -172,19 +73,45 @@ class QualityModel:
         return np.array([None, *KINDS], object)[self.chances(x).argmax(axis=1)] if len(x) else np.empty(0, object)
 
 
-def fit_model(docs: DataFrame, common_words: Sequence[str], sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+def _code(kind: str) -> int:
+    return KINDS.index(kind) + 1 if kind in KINDS else 0
+
+
+def _columns(texts: Sequence[str], stats: TextStatistics) -> np.ndarray:
+    return stats.table(texts)[:, : len(FEATURES)]
+
+
+def fit_model(docs: DataFrame, common: Sequence[str], sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Fit on at most ``sample_rows`` corpus rows (those of the smallest hash of ``doc_id``) and generated examples."""
-    spark = docs.sparkSession
-    sample = docs.where(F.trim("text") != "").orderBy(F.xxhash64("doc_id")).limit(sample_rows).select("text")
-    corpus = with_statistics(sample.repartition(max(8, spark.sparkContext.defaultParallelism)), common_words).select(*FEATURES).toPandas()
-    known = generated()
-    made = [(t, KINDS.index(k) + 1 if k in KINDS else 0, 1) for t, k in known] + [(t, KINDS.index(k) + 1 if k in KINDS else 0, 2) for t, k in HOLDOUT]
-    own = with_statistics(spark.createDataFrame(made, "text string, y int, part int"), common_words).select("y", "part", *FEATURES).toPandas()
-    weak = weak_labels(corpus)
-    train, held = own[own.part == 1], own[own.part == 2]
-    x = np.vstack([corpus[FEATURES].to_numpy(float)[weak >= 0], train[FEATURES].to_numpy(float)])
-    y = np.concatenate([weak[weak >= 0], train.y.to_numpy()])
-    return QualityModel(x, y, held[FEATURES].to_numpy(float), held.y.to_numpy())
+    sample = docs.where(F.trim("text") != "").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    corpus = document_statistics(sample, common).select(*FEATURES).toPandas()
+    made, weak = generated() + INVENTED, weak_labels(corpus)
+    x = np.vstack([corpus[FEATURES].to_numpy(float)[weak >= 0], _columns([t for t, _ in made], TextStatistics(common))])
+    return QualityModel(x, np.concatenate([weak[weak >= 0], [_code(k) for _, k in made]]))
+
+
+def calibration(docs: DataFrame, common: Sequence[str], checked: dict[int, str], bins: int = 10) -> dict:
+    """Scales and quality of a model fitted without the ``checked`` documents (kind by ``doc_id``).
+
+    The documents with an even rank by id fit the Platt ``scales``, the others measure: recall and precision per class
+    and the expected calibration error per class, with the scales found.
+    """
+    ids = sorted(checked)
+    known = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    model = fit_model(docs.join(F.broadcast(known), "doc_id", "left_anti"), common)
+    texts = {r.doc_id: r.text for r in docs.join(F.broadcast(known), "doc_id", "left_semi").select("doc_id", "text").collect()}
+    margins, y = model.margins(_columns([texts[i] for i in ids], TextStatistics(common))), np.array([_code(checked[i]) for i in ids])
+    odd = np.arange(len(ids)) % 2 == 1
+    scales = [Platt().fit(margins[~odd, k], y[~odd] == k) for k in range(len(KINDS) + 1)]
+    chance = np.column_stack([s.chance(margins[odd, k]) for k, s in enumerate(scales)])
+    found, true = chance.argmax(axis=1), y[odd]
+    out = {"scales": [tuple(s.weights) for s in scales], "n": len(ids), "recall": {}, "precision": {}, "error": {}}
+    for k, kind in enumerate(("prose", *KINDS)):
+        part = np.minimum((chance[:, k] * bins).astype(int), bins - 1)
+        gaps = [abs(chance[part == b, k].mean() - (true[part == b] == k).mean()) * (part == b).mean() for b in range(bins) if (part == b).any()]
+        out["error"][kind] = float(sum(gaps))
+        out["recall"][kind], out["precision"][kind] = float((found[true == k] == k).mean()), float((true[found == k] == k).mean())
+    return out
 
 
 def structural_documents(docs: DataFrame, common: DataFrame) -> DataFrame:
@@ -194,15 +121,19 @@ def structural_documents(docs: DataFrame, common: DataFrame) -> DataFrame:
     fitting alone. Repeated rows give repeated results only if ``doc_id`` repeats; an empty corpus gives none.
     """
     ship_package(docs.sparkSession)
-    words = [r.word for r in common.where("word is not null").select("word").distinct().collect()]
-    model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, words))
-
-    def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(model.value.kinds(np.column_stack([c.to_numpy(float) for c in columns])), dtype=object)
-
-    # declared non-deterministic so that the filter on its result is not pushed below, which would compute it all twice
-    kind = F.pandas_udf(score, "string").asNondeterministic()
-
-    real = spread(docs.where(F.col("text").rlike(r"[^\s\p{Z}\p{C}]")).select("doc_id", "text"))
-    scored = with_statistics(real, words).select("doc_id", kind(*FEATURES).alias("kind"))
-    return scored.where("kind is not null")
+    words = common_words(common)
+    shared = docs.sparkSession.sparkContext.broadcast((TextStatistics(words), fit_model(docs, words)))
+    out_type = pa.schema([("doc_id", pa.int64()), ("kind", pa.string())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats, model = shared.value
+        for batch in batches:
+            rows = stats.table(batch.column(1).to_pylist())
+            kinds = model.kinds(rows[:, : len(FEATURES)])
+            kinds[rows[:, len(FEATURES) + 1] == 0] = None  # no line shows anything
+            found = np.flatnonzero(kinds != None)  # noqa: E711
+            if len(found):
+                yield pa.record_batch([batch.column(0).cast(pa.int64()).take(pa.array(found)), pa.array(kinds[found], pa.string())], schema=out_type)
+
+    real = docs.where("text is not null").select("doc_id", "text")
+    return spread(real).mapInArrow(score, "doc_id bigint, kind string")

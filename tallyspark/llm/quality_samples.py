@@ -1,17 +1,20 @@
-"""Labelled texts for fitting and calibrating the quality model; all invented here.
+"""Labelled texts for fitting the quality model; all invented here.
 
 ``generated`` writes weakly labelled examples of every kind by rule, so that a small or one-sided corpus still shows
-the model each kind. ``HOLDOUT`` was written and labelled by hand, one text at a time, and is used for calibration only.
+the model each kind. ``INVENTED`` was written and labelled by hand, one text at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import random
+import re
 
 _NOUNS = "parser cache worker index queue timer socket router ledger buffer report widget branch schema token module filter client".split()
 _ADJ = "slow stale broken shared empty large hidden local remote old new lazy partial strict".split()
 _VERBS = "reads drops locks copies skips writes loads merges retries ignores flushes sorts".split()
+_DO = "drop the, rename the, move the, check the, write a test for the, ask for the, put the, get rid of the, take the old, keep one".split(", ")
+_TO = "at the start, for now, out of the loop, in one place, before the call, on each retry, with care, to the end, and log it, as it is".split(", ")
 _PROSE = {
     "en": ["the {a} {n} {v} the {m} when the {k} is {b}", "we should not merge this before the {n} has a test for the {a} {m}", "I think it is better to return early, because the {n} {v} the {a} {m}", "what happens to the {n} if the {m} is {b} and nobody {v} it"],
     "de": ["der {n} ist nicht bereit, weil die {m} noch auf den {k} wartet", "wir haben das mit dem {n} und der {m} geprüft, aber es war nicht schnell", "ich kann den {n} vor der {m} nicht sehen"],
@@ -29,7 +32,9 @@ def _prose(rng: random.Random) -> str:
     lang = rng.choice(list(_PROSE))
     end, join = ("。", "") if lang == "ja" else (rng.choice([".", ".", ".", "!", ""]), rng.choice([" ", " ", "\n", "\n\n"]))
     text = join.join(_fill(rng, rng.choice(_PROSE[lang])) + end for _ in range(rng.randint(1, 14)))
-    if rng.random() < 0.2 and lang != "ja":
+    if rng.random() < 0.15 and lang != "ja":
+        text = re.sub(r"[.!?,;]", "", text)
+    if rng.random() < 0.3 and lang != "ja":
         words, width, lines, line = text.split(), rng.randint(40, 80), [], ""
         for w in words:
             if len(line) + len(w) > width:
@@ -49,12 +54,15 @@ def _item(rng: random.Random) -> str:
             lambda: f"{rng.choice(_NOUNS)}/{rng.choice(_NOUNS)}/{rng.choice(_VERBS)}_{rng.choice(_NOUNS)}.{rng.choice(['py', 'go', 'rs', 'sql'])}",
             lambda: f"{rng.choice(_NOUNS)} {rng.choice(_NOUNS)}: {rng.choice(['use a shared helper', 'drop the fallback', 'log the id', 'move the check up', 'cover it with a test'])}{rng.choice(['', '.', ';'])}",
             lambda: f"{rng.choice(_VERBS)}{rng.choice(_NOUNS).title()} {rng.randint(0, 9)}.{rng.randint(0, 20)}",
+            lambda: f"{rng.choice(_DO)} {rng.choice(_NOUNS)} {rng.choice(_TO)}",
         ]
     )()
 
 
 def _list(rng: random.Random) -> str:
     items = [_item(rng) for _ in range(rng.randint(5, 40))]
+    if rng.random() < 0.3:
+        items = [f"{rng.choice(_DO)} {rng.choice(_NOUNS)}{rng.choice(['', ' ' + rng.choice(_TO)])}" for _ in items]
     style = rng.choice(["- ", "* ", "• ", "+ ", "– ", "#", "", "", "- [ ] ", ", "])
     head = rng.choice(["", "", "Touched parts\n", "Open:\n"])
     if style == ", ":
@@ -110,7 +118,7 @@ def generated(each: int = 150, seed: int = 11) -> list[tuple[str, str]]:
     return [(make(rng), kind) for kind, make, n in makers for _ in range(n)]
 
 
-HOLDOUT: list[tuple[str, str]] = [
+INVENTED: list[tuple[str, str]] = [
     ("I read the patch twice and could not find where the lock is released. Could you point me to it?", "prose"),
     ("LGTM, thanks for the quick fix.", "prose"),
     ("This looks fine to me but I would rather see the new flag documented before we ship it to everyone.\nPlease add a line to the readme.", "prose"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import conversations, leakage, percentiles, quality, tokenizer
-from tallyspark.operators.joins import spread
+from tallyspark.llm.statistics import COUNTS, FEATURES, document_statistics
 from tallyspark.sources.tables import table
 
 PER_MILLE = (10, 250, 500, 750, 900, 990)
@@ -49,16 +49,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
-    words = [r.word for r in table(spark, d, "common_words").where("word is not null").select("word").distinct().collect()]
-    stats = quality.with_statistics(table(spark, d, "documents").select("doc_id", "text"), words)
-    return stats.select("doc_id", "n_chars", "n_words", *[F.round(c, 6).alias(c) for c in ("mean_word_len", "digit_share", "letter_share", "upper_share", "distinct_words")])
+    stats = p8_all_statistics(spark, d)
+    return stats.select("doc_id", "n_chars", "n_words", "mean_word_len", "digit_share", "letter_share", "upper_share", "distinct_words")
 
 
 def p8_all_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Every statistic the classifier reads, and the counts, of every document; ``p8_statistics`` is the part with SQL."""
-    words = [r.word for r in table(spark, d, "common_words").where("word is not null").select("word").distinct().collect()]
-    stats = quality.with_statistics(spread(table(spark, d, "documents").select("doc_id", "text")), words)
-    return stats.select("doc_id", "n_chars", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in quality.FEATURES])
+    stats = document_statistics(table(spark, d, "documents"), quality.common_words(table(spark, d, "common_words")))
+    return stats.select("doc_id", *COUNTS, *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
 QUERIES = {
