@@ -37,7 +37,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_passages(spark, d).select("doc_id", "item_id")
+    return p7_passages(spark, d).select("doc_id", "item_id").distinct()
 
 
 def p7_passages(spark: SparkSession, d: str) -> DataFrame:

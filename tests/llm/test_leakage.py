@@ -50,6 +50,28 @@ def test_every_item_of_a_shared_passage(matcher):
     assert {f[0] for f in matcher.find(" ".join(ITEMS[0][1][25:65]))} == {0, 99}
 
 
+def test_every_passage_of_an_item_is_reported(matcher):
+    w, gap = ITEMS[4][1], noise(200)
+    doc = w[0:40] + gap + w[50:90] + gap + w[0:40]
+    assert sorted(f for f in matcher.find(" ".join(doc)) if f[0] == 4) == [(4, 0, 39, 40), (4, 240, 279, 40), (4, 480, 519, 40)]
+    # one item over and over: every copy, in a text whose diagonals never end
+    found = matcher.find(" ".join(w * 60))
+    assert sum(f[3] for f in found) == 60 * 110 and len({f[1] for f in found}) == len(found)
+
+
+def test_a_passage_grows_over_errors_that_pay(matcher):
+    w = ITEMS[5][1]
+    (found,) = matcher.find(" ".join(w[:50] + ["zz"] + w[51:110]))
+    assert found == (5, 0, 109, 110)
+
+
+@pytest.mark.parametrize("mark", ["<a href='" + "x" * 5_000 + "'>", "&" + "n" * 300 + ";", "&#" + "1" * 50 + ";", "\\n"])
+def test_markup_of_any_length_is_no_word(matcher, mark):
+    w = ITEMS[6][1][5:45]
+    doc = "".join(x + (mark if k % 6 == 5 else " ") for k, x in enumerate(w))
+    assert [f[0] for f in matcher.find(doc)] == [6]
+
+
 def test_scattered_pieces_are_no_passage(matcher):
     w = ITEMS[3][1]
     assert matcher.find(" ".join(w[0:20] + noise(5) + w[40:60] + noise(5) + w[80:100])) == []
@@ -100,5 +122,5 @@ def test_table(frame):
     (r,) = find_leaks(docs, items).collect()
     text = "intro " + hidden + " end"
     assert (r.doc_id, r.item_id, r.item_words) == (1, 2, 40) and text[r.start_char : r.end_char] == hidden
-    assert len(find_leaks(docs, items, max_chars=900).collect()) == 1  # several blocks
+    assert find_leaks(docs, items, max_chars=900).collect() == [r]  # several blocks
     assert find_leaks(docs.limit(0), items).collect() == [] == find_leaks(docs, items.limit(0)).collect()
