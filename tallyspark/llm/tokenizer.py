@@ -6,13 +6,15 @@ among its neighbouring pairs, by lookup in an open-addressing hash table of all
 Rows without a mergeable pair leave the matrix.
 
 A row merges all occurrences of its lowest-ranked pair at once, leftmost first. That equals merging only the leftmost
-one per round: a merge creates only pairs of higher rank, so the other occurrences stay lowest and come next. The
-number of rounds is then bounded by the distinct pairs of a word, not by its length.
+one per round as long as a merge creates only pairs of higher rank, so that the other occurrences stay lowest and come
+next; the number of rounds is then bounded by the distinct pairs of a word, not by its length. The vocabulary is tested
+for that property when it is read, and one without it merges the leftmost occurrence alone.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p
 _NONE = np.int32(2**31 - 1)
 _CELLS = 1 << 21  # cells of one padded matrix
 _KEPT_WORDS = 400_000  # words a worker remembers; a memory bound that changes no result
-_KEPT_BYTES = 64  # longer words are not remembered
+_KEPT_IDS = 4_000_000  # and of its ids
 
 
 def _printable_bytes() -> dict[str, int]:
@@ -54,6 +56,16 @@ def load_merges(path: str) -> dict[str, np.ndarray]:
     return {"single": single, "left": table[:, 0], "right": table[:, 1], "merged": table[:, 2].astype(np.int32)}
 
 
+def merges_ascend(merges: dict[str, np.ndarray]) -> bool:
+    """Whether every merge ranks above all merges that make one of its parts, so that a merge creates only higher pairs."""
+    left, right, merged = (merges[k].astype(np.int64) for k in ("left", "right", "merged"))
+    if not len(merged):
+        return True
+    last = np.full(int(max(left.max(), right.max(), merged.max())) + 1, -1)
+    np.maximum.at(last, merged, np.arange(len(merged)))
+    return bool((np.maximum(last[left], last[right]) < np.arange(len(merged))).all())
+
+
 class PairTable:
     """Open-addressing hash table from a pair of ids to the rank of its merge."""
 
@@ -102,8 +114,14 @@ class ByteBpe:
     def __init__(self, merges: dict[str, np.ndarray], pattern: str = WORD_PATTERN):
         self.single, self.merged = merges["single"], merges["merged"]
         self.table = PairTable(merges["left"], merges["right"])
+        self.ascending = merges_ascend(merges)
         self.cut = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words met so far: their numbers, and for each number where its ids stand in the pool."""
+        self.known: dict[str, int] = {}
+        self.start, self.size, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def _pair_ranks(self, m: np.ndarray) -> np.ndarray:
         ranks = np.full((m.shape[0], max(0, m.shape[1] - 1)), _NONE, np.int32)
@@ -111,70 +129,101 @@ class ByteBpe:
         ranks[pair] = self.table.rank(m[:, :-1][pair], m[:, 1:][pair])
         return ranks
 
-    def _merge_matrix(self, m: np.ndarray) -> list[np.ndarray]:
-        """Merge every row of a matrix of ids, padded with -1 at the right, to its end."""
-        done: list[np.ndarray | None] = [None] * len(m)
-        rows = np.arange(len(m))
+    def _merge_matrix(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge every row of a matrix of ids, padded with -1 at the right, to its end: row sizes and all ids in order."""
+        sizes, rows = np.zeros(len(m), np.int64), np.arange(len(m))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(rows):
             ranks = self._pair_ranks(m)
             low = ranks.min(axis=1) if ranks.shape[1] else np.full(len(m), _NONE, np.int32)
             over = low == _NONE
-            for k in np.flatnonzero(over):
-                done[rows[k]] = m[k][m[k] >= 0]
+            if over.any():
+                ready = m[over]
+                real = ready >= 0
+                sizes[rows[over]] = real.sum(axis=1)
+                done.append((rows[over], ready[real]))
             m, rows, ranks, low = m[~over], rows[~over], ranks[~over], low[~over]
             if not len(rows):
                 break
             at = ranks == low[:, None]
-            # a run of equal tokens holds overlapping pairs: every second one, from the left, merges
             col = np.arange(at.shape[1])
-            opens = at.copy()
-            opens[:, 1:] &= ~at[:, :-1]
-            start = np.maximum.accumulate(np.where(opens, col, -1), axis=1)
-            at &= (col - start) % 2 == 0
+            if self.ascending:
+                # a run of equal tokens holds overlapping pairs: every second one, from the left, merges
+                opens = at.copy()
+                opens[:, 1:] &= ~at[:, :-1]
+                first = np.maximum.accumulate(np.where(opens, col, -1), axis=1)
+                at &= (col - first) % 2 == 0
+            else:
+                at &= col == at.argmax(axis=1)[:, None]
             r, c = np.nonzero(at)
             m[r, c] = self.merged[low[r]]
             m[r, c + 1] = -1
             keep = m >= 0
-            width = keep.sum(axis=1)
-            packed = np.full((len(m), int(width.max())), -1, np.int32)
+            packed = np.full((len(m), int(keep.sum(axis=1).max())), -1, np.int32)
             kr, kc = np.nonzero(keep)
             packed[kr, (np.cumsum(keep, axis=1) - 1)[kr, kc]] = m[kr, kc]
             m = packed
-        return done  # type: ignore[return-value]
-
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; words are grouped by length, so that padding at most doubles a matrix."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
-        size = np.array([len(w) for w in words], np.int64)
-        order = np.argsort(size, kind="stable")
-        order = order[size[order] > 0]
-        i = 0
+        out = np.empty(int(sizes.sum()), np.int32)
+        begin = np.cumsum(sizes) - sizes
+        for own, ids in done:
+            out[_spread(begin[own], sizes[own])] = ids
+        return sizes, out
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words, in order; words are grouped by length, so that padding at most doubles a matrix."""
+        length = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(length, kind="stable")
+        order = order[length[order] > 0]
+        sizes, parts, i = np.zeros(len(words), np.int64), [], 0
         while i < len(order):
-            small = size[order[i]]
-            j = i + 1
-            while j < len(order) and size[order[j]] <= 2 * small and (j - i + 1) * size[order[j]] <= _CELLS:
-                j += 1
+            small = length[order[i]]
+            limit = np.searchsorted(length[order], 2 * small, "right")
+            j = i + max(1, int(np.searchsorted(np.arange(1, limit - i + 1) * length[order[i:limit]], _CELLS, "right")))
             part = order[i:j]
-            m = np.full((len(part), int(size[part[-1]])), -1, np.int32)
-            for k, w in enumerate(part):
-                m[k, : size[w]] = self.single[np.frombuffer(words[w], np.uint8)]
-            for w, ids in zip(part, self._merge_matrix(m)):
-                out[w] = ids
+            m = np.full((len(part), int(length[part[-1]])), -1, np.int32)
+            m[np.arange(m.shape[1]) < length[part][:, None]] = self.single[np.frombuffer(b"".join([words[k] for k in part.tolist()]), np.uint8)]
+            sizes[part], ids = self._merge_matrix(m)
+            parts.append((part, ids))
             i = j
-        return out
+        out = np.empty(int(sizes.sum()), np.int32)
+        begin = np.cumsum(sizes) - sizes
+        for part, ids in parts:
+            out[_spread(begin[part], sizes[part])] = ids
+        return sizes, out
+
+    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of each text's ids, after a leading 0, and all ids; an empty and a null text have none.
+
+        Strings of special tokens are plain text.
+        """
+        if len(self.known) > _KEPT_WORDS or len(self.pool) > _KEPT_IDS:
+            self._forget()
+        cuts = [self.cut.findall(t) if t else [] for t in texts]
+        words = [w for c in cuts for w in c]
+        fresh = list(set(words).difference(self.known))
+        if fresh:
+            sizes, ids = self.encode_words([w.encode("utf-8", "replace") for w in fresh])
+            self.known.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh))))
+            self.start = np.append(self.start, len(self.pool) + np.cumsum(sizes) - sizes)
+            self.size, self.pool = np.append(self.size, sizes), np.append(self.pool, ids)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        ids = self.pool[_spread(self.start[at], self.size[at])]
+        ends = np.concatenate([[0], np.cumsum(self.size[at])])[np.concatenate([[0], np.cumsum([len(c) for c in cuts], dtype=np.int64)])]
+        return ends, ids
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[list[int]]:
-        """Ids of each text; an empty and a null text give an empty list. Strings of special tokens are plain text."""
-        if len(self.known) > _KEPT_WORDS:
-            self.known.clear()
-        cuts = [self.cut.findall(t) if t else [] for t in texts]
-        known = self.known
-        fresh = [w for w in dict.fromkeys(w for c in cuts for w in c) if w not in known]
-        once: dict[str, list[int]] = {}
-        for w, ids in zip(fresh, self.encode_words([w.encode("utf-8", "replace") for w in fresh])):
-            (known if len(w) <= _KEPT_BYTES else once)[w] = ids.tolist()
-        look = (lambda w: known[w] if w in known else once[w]) if once else known.__getitem__
-        return [[i for w in c for i in look(w)] for c in cuts]
+        """Ids of each text as lists."""
+        ends, ids = self.encode(texts)
+        return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``start .. start + size - 1`` of every entry, one after the other."""
+    total = int(size.sum())
+    return np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+_BUILT: dict = {}
 
 
 def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -184,15 +233,18 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts give an empty list; repeated rows give repeated rows; an empty table gives none; further columns are ignored.
     """
     ship_package(df.sparkSession)
-    merges = df.sparkSession.sparkContext.broadcast(load_merges(path))
+    merges, key = df.sparkSession.sparkContext.broadcast(load_merges(path)), uuid.uuid4().hex
     out_type = pa.schema([pa.field(id_col, pa.int64()), pa.field("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(merges.value)
+        if _BUILT.get("key") != key:  # one encoder, with the words it met, per worker process
+            _BUILT.clear()
+            _BUILT.update(key=key, value=ByteBpe(merges.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                ids = bpe.encode_batch(part.column(1).to_pylist())
-                yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], schema=out_type)
+                ends, ids = _BUILT["value"].encode(part.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], schema=out_type)
 
     return spread(df.select(id_col, text_col)).mapInArrow(encode, f"`{id_col}` bigint, ids array<int>")

@@ -5,7 +5,8 @@ import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
 
-from tallyspark.llm.tokenizer import VOCABULARY, ByteBpe, PairTable, encode_column, load_merges  # noqa: E402
+from tallyspark.llm import tokenizer  # noqa: E402
+from tallyspark.llm.tokenizer import VOCABULARY, ByteBpe, PairTable, encode_column, load_merges, merges_ascend  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +45,19 @@ def test_table_of_texts(frame, reference):
     one, long = reference(["one two", " " * 3 + "x" * 30_000])
     assert got == [(1, []), (2, []), (3, one), (3, one), (4, long)]
     assert encode_column(df.limit(0)).collect() == []
+
+
+def test_merges_that_make_lower_pairs_go_one_by_one(bpe):
+    assert bpe.ascending
+    single = np.arange(256, dtype=np.int32)
+    odd = {"single": single, "left": np.array([300, 97]), "right": np.array([97, 98]), "merged": np.array([301, 300], np.int32)}  # "ab" + "a" ranks before "a" + "b"
+    assert not merges_ascend(odd)
+    assert ByteBpe(odd, r"\S+").encode_batch(["abab", "ab", "", None]) == [[301, 98], [300], [], []]
+    even = {**odd, "left": odd["left"][::-1].copy(), "right": odd["right"][::-1].copy(), "merged": odd["merged"][::-1].copy()}
+    assert merges_ascend(even) and ByteBpe(even, r"\S+").encode_batch(["abab"]) == [[300, 300]]
+
+
+def test_forgetting_words_changes_nothing(bpe, reference, monkeypatch):
+    monkeypatch.setattr(tokenizer, "_KEPT_WORDS", 1)
+    texts = ["one two three", None, "two one", "x" * 500, ""]
+    assert [bpe.encode_batch([t])[0] for t in texts] == [r if t else [] for t, r in zip(texts, reference([t or "" for t in texts]))]
