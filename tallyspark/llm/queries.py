@@ -25,7 +25,7 @@ def p3_day_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_conversations(spark, d).drop("depth")
+    return p5_conversations(spark, d).select("thread_id", "turn_no", "comment_id", "speaker_role")
 
 
 def p5_conversations(spark: SparkSession, d: str) -> DataFrame:

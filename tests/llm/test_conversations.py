@@ -4,7 +4,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from tallyspark.llm.conversations import conversations, peel
+from tallyspark.llm.conversations import COLUMNS, conversations, peel
 
 C = "comment_id long, thread_id string, pr_id long, in_reply_to_id long, author string, body string, created_at string, ingested_at timestamp_ntz"
 T = "event_id long, event_type string, actor string, data string"
@@ -29,7 +29,7 @@ GOOD = [row(1, "g", None, "HELPER"), row(2, "g", 1, "ann", at=9), row(3, "g", 2,
 WANT = [("g", 1, 1, "bot"), ("g", 2, 3, "reviewer"), ("g", 3, 2, "author")]
 
 
-@pytest.mark.parametrize("limit", [200_000, 1])
+@pytest.mark.parametrize("limit", [200_000, 3])
 def test_kept_and_dropped_threads(frame, limit):
     rows = [
         *GOOD,
@@ -79,7 +79,7 @@ def brute(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [200_000, 6])
+@pytest.mark.parametrize("limit", [200_000, 40])
 def test_against_plain_walking(frame, limit):
     rng = random.Random(7)
     rows, n = [], 0
@@ -93,11 +93,27 @@ def test_against_plain_walking(frame, limit):
     assert sorted((r.thread_id, r.turn_no, r.comment_id) for r in got.collect()) == brute(rows)
 
 
-def test_depth_is_the_same_both_ways(frame):
-    rows = [row(i, "long", i - 1 if i else None, "ab"[i % 2]) for i in range(70)] + [row(100 + i, "star", 100 if i else None, "ab"[i % 2]) for i in range(20)]
-    small = {(r.comment_id, r.depth, r.turn_no) for r in run(frame, rows).collect()}
-    large = {(r.comment_id, r.depth, r.turn_no) for r in run(frame, rows, task_rows=5).collect()}
-    assert small == large and (69, 69, 70) in small
+def test_all_columns_are_the_same_both_ways(frame):
+    rows = [row(i, "long", i - 1 if i else None, "ab"[i % 2], at=(i * 7) % 31) for i in range(30)] + [row(100 + i, "star", 100 if i else None, "abb"[i % 3]) for i in range(20)]
+    both = [sorted(tuple(r) for r in run(frame, rows, bots=["a"], task_rows=limit).select(*COLUMNS).collect()) for limit in (200_000, 12)]
+    assert both[0] == both[1] and {r[2]: r[4] for r in both[0]}[29] == 29
+
+
+def test_topological_order_roles_and_wrong_clocks(frame):
+    # 2 and 4 answer 1; 3 answers 2 before its time; 5 goes on below 4
+    rows = [row(1, "t", None, "ann", at=10), row(2, "t", 1, "bob", at=30), row(3, "t", 2, "helper", at=5), row(4, "t", 1, "cid", at=40), row(5, "t", 4, "ann", at=50), row(6, "t", 2, "bob", at=35)]
+    alt = [row(11, "u", None, "helper", at=1), row(12, "u", 11, "ann", at=2), row(13, "u", 12, "bob", at=3)]
+    got = sorted(run(frame, rows + alt).collect(), key=lambda r: (r.thread_id, r.turn_no))
+    assert [r.comment_id for r in got] == [3, 1, 2, 6, 4, 5, 11, 12, 13]
+    assert [r.comment_id for r in sorted(got[:6], key=lambda r: r.kahn_no)] == [1, 2, 4, 3, 6, 5]
+    assert {r.comment_id: r.depth for r in got[:6]} == {1: 0, 2: 1, 4: 1, 3: 2, 6: 2, 5: 2}
+    assert {(r.thread_id, r.roles_alternate) for r in got} == {("t", False), ("u", True)}
+
+
+def test_a_comment_delivered_for_two_threads_keeps_one_delivery_whole(frame):
+    first, later = row(2, "t", 1, "bob"), list(row(2, "a", 77, "ann", body=" "))
+    later[7] = datetime(2026, 2, 1)
+    assert [r[:3] for r in turns(run(frame, [row(1, "t", None), first, tuple(later)]))] == [("t", 1, 1), ("t", 2, 2)]
 
 
 def test_peel_is_linear_in_a_long_chain():
