@@ -70,3 +70,14 @@ def test_odd_values(frame, values):
 def test_nothing(frame):
     assert pc.percentiles(states(frame([], S)), "g", Q).collect() == []
     assert states(frame([(1, None, 1.0, 1.0, None, None), (2, "g", math.nan, None, None, None)], S)).collect() == []
+
+
+def test_grid_bounds_states_and_error(frame):
+    rng = random.Random(9)
+    rows = [(i, "g", rng.uniform(-2, 2)) for i in range(3000)] + [(5000, "g", None), (5001, "g", float("nan")), (5002, "h", 0.3)]
+    df = frame(rows, "id long, grp string, v double").withColumn("day", F.col("id") % 3)
+    exact = {(r.grp, r.per_mille): r.value for r in pc.percentiles(pc.day_states(df, "grp", ["v"], "id", F.col("day")), "grp", [10, 500, 990]).collect()}
+    states = pc.day_states(df, "grp", ["v"], "id", F.col("day"), 1 / 16)
+    assert states.groupBy("grp", "day").count().agg(F.max("count")).first()[0] <= 4 * 16
+    for r in pc.percentiles(states, "grp", [10, 500, 990]).collect():
+        assert 0 <= exact[r.grp, r.per_mille] - r.value < 1 / 16
