@@ -58,3 +58,21 @@ def parsed_labels(json_text: Column) -> dict[str, Column]:
         "pr_type": pr_type(string_field(json_text, "pr_type")),
         "severity": severity(string_field(json_text, "severity")),
     }
+
+
+def lowered(json_text: Column) -> Column:
+    """``map<string, variant>`` of a label document: text and lists of text in lower case, other values as they are."""
+    fields = F.try_variant_get(parse_strict(json_text), "$", "map<string,variant>")
+
+    def low(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        one = F.lower(value.cast("string")).cast("variant")
+        many = F.to_variant_object(F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.lower(x.cast("string")).cast("variant")).otherwise(x)))
+        return F.when(kind == "STRING", one).when(kind.startswith("ARRAY"), many).otherwise(value)
+
+    return F.transform_values(fields, lambda _, v: low(v))
+
+
+def display_label(json_text: Column, name: str) -> Column:
+    """A label for tables: lower case, empty text where there is none."""
+    return F.coalesce(F.lower(string_field(json_text, name)), F.lit(""))

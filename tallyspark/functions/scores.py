@@ -16,3 +16,8 @@ def f_beta(precision: Column, recall: Column, beta: float = 1.0) -> Column:
 def ratio(part: Column, whole: Column) -> Column:
     """``part / whole`` as double, 0 where the denominator is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """``share`` times 100, rounded half up: a figure for display, never for further computing."""
+    return F.round(share * 100, digits)

@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scores import ratio
+from tallyspark.functions.text import dimension_label
 
 MIN_PRS = 5
 _KEYS = ["dims", "values", "model", "tool"]
 
 
+def with_labels(evals: DataFrame, labels: DataFrame, key: str, dims: Sequence[str], defaults: dict[str, str], unknown: str = "unknown") -> DataFrame:
+    """Evaluations with the ``dims`` of their labels; where there is no label, or no value in it, the dimension's default."""
+    both = evals.join(labels.select(key, *dims), key, "left")
+    return both.withColumns({d: F.coalesce(d, F.lit(defaults.get(d, unknown))) for d in dims})
+
+
 def slice_scores(evals: DataFrame, dims: Sequence[str], pairs: bool = True, unknown: str = "unknown") -> DataFrame:
     """``dims, values, model, tool, n_prs, tp, fp, fn, precision, recall, f1`` of every slice of one or two dimensions.
 
@@ -72,6 +79,13 @@ def diversity_order(filters: DataFrame) -> DataFrame:
     return ranked.withColumn("position", F.row_number().over(Window.orderBy("later", F.desc("score"), "tool", "dims", "values"))).drop("later")
 
 
+def predefined_filters(scores: DataFrame, dims: Sequence[str], pairs: Sequence[tuple[str, str]] = (), metric: str = "f1") -> DataFrame:
+    """Slices of one dimension, and of the given pairs, that have a best model: its tool and score, and a readable label."""
+    best = best_model(scores, metric).where(F.col("dims").isin(*dims, *["+".join(p) for p in pairs]))
+    names = F.zip_with(F.split("dims", r"\+"), F.split("values", r"\+"), dimension_label)
+    return best.withColumn("label", F.array_join(names, " + "))
+
+
 def filter_catalogue(domains: dict[str, Sequence[str]], combos: Sequence[dict[str, str]] = ()) -> list[dict[str, list[str]]]:
     """Predefined filters: every value of every dimension, language with size, and given combinations."""
     single = [{d: [v]} for d, vs in domains.items() for v in vs if v != "unknown"]

@@ -61,11 +61,21 @@ def target_events(events: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def event_lists(events: DataFrame) -> DataFrame:
-    """``repo, number, events``: the events of a pull request in time order, then by id."""
+    """``repo, number, events``: the events of a pull request in time order, then by id.
+
+    The list is the result, so a pull request is one row; where its ends or size are all that is asked for,
+    :func:`event_summary` gives them without gathering it.
+    """
     one = F.struct("ts", "event_id", "actor", "event_type")
     return events.groupBy("repo", "number").agg(F.sort_array(F.collect_list(one)).alias("events"))
 
 
+def event_summary(events: DataFrame) -> DataFrame:
+    """``repo, number, n, first_id, last_id`` of the ordered events of a pull request, by partial aggregates alone."""
+    order = F.struct("ts", "event_id")
+    return events.groupBy("repo", "number").agg(F.count(F.lit(1)).alias("n"), F.min_by("event_id", order).alias("first_id"), F.max_by("event_id", order).alias("last_id"))
+
+
 def first_seen_volume(events: DataFrame, null_numbers: bool = False) -> DataFrame:
     """``bot, day, pr_count``: every pull request counts once, on the day its bot was first seen on it.
 

@@ -10,7 +10,10 @@ from tallyspark.operators.filters import Filtered, FilterSpec, day_in_range
 
 
 def daily_metrics(found: Filtered) -> DataFrame:
-    """Per day and bot over rows with a precision: means, F of the means, rows; recall 0.0 and no F if no row has one."""
+    """Per day and bot over rows with a precision: means, F of the means, rows; recall 0.0 and no F if no row has one.
+
+    Ordered by day, then name.
+    """
     p, r = F.col("precision").cast("double"), F.col("recall").cast("double")
     daily = (
         found.facts.where(p.isNotNull())
@@ -19,10 +22,16 @@ def daily_metrics(found: Filtered) -> DataFrame:
     )
     if found.spec.min_per_day is not None:
         daily = daily.where(F.col("pr_count") >= found.spec.min_per_day)
-    return daily.select(
+    shown = daily.select(
         "day", F.col("username").alias("chatbot"), "avg_precision", F.coalesce("r", F.lit(0.0)).alias("avg_recall"),
         f_beta(F.col("avg_precision"), F.col("r"), found.spec.beta).alias("avg_f_beta"), "pr_count",
     )
+    return shown.orderBy("day", "chatbot")
+
+
+def sorted_metrics(rows: DataFrame, by: str, ascending: bool = False, tie: str = "chatbot") -> DataFrame:
+    """A metric table by any of its columns, NULL last either way, then by name."""
+    return rows.orderBy(F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by), tie)
 
 
 def mean_f_and_f_of_means(facts: DataFrame, beta: float = 1.0) -> DataFrame:
@@ -91,12 +100,19 @@ def date_bounds(facts: DataFrame) -> DataFrame:
 
 
 def filter_options(facts: DataFrame, bots: DataFrame, min_language: int = 5) -> DataFrame:
-    """One row of sorted arrays per dimension, the date bounds, and the bots that are not ignored and have facts."""
-    long = options_long(facts, min_language)
-    arrays = long.groupBy().agg(*[F.array_sort(F.collect_set(F.when(F.col("dim") == d, F.col("value")))).alias(f"{d}s") for d in ("language", "domain", "pr_type", "severity")])
-    seen = bots.where("not ignored").join(facts.select("bot").distinct(), "bot", "left_semi").agg(F.array_sort(F.collect_set("username")).alias("chatbots"))
-    bounds = date_bounds(facts)
-    return arrays.select("*", seen.scalar().alias("chatbots"), bounds.select("first_day").scalar().alias("first_day"), bounds.select("last_day").scalar().alias("last_day"))
+    """One row of sorted arrays per dimension, the date bounds, and the bots that are not ignored and have facts.
+
+    One pass over the facts: every row is counted once per dimension, with its day and its bot as two more of them.
+    """
+    dims = ["language", "domain", "pr_type", "severity"]
+    pairs = [F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims]
+    pairs += [F.struct(F.lit("day").alias("dim"), F.col("day").cast("string").alias("value")), F.struct(F.lit("bot").alias("dim"), F.col("bot").cast("string").alias("value"))]
+    counted = facts.select(F.inline(F.array(*pairs))).where("value is not null").groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
+    kept = counted.where((F.col("dim") != "language") | (F.col("n") >= min_language))
+    names = bots.where("not ignored").select(F.lit("bot").alias("dim"), F.col("bot").cast("string").alias("value"), "username")
+    of = lambda d, c="value": F.array_sort(F.collect_set(F.when(F.col("dim") == d, F.col(c))))
+    day = lambda f: f(F.when(F.col("dim") == "day", F.to_date("value")))
+    return kept.join(names, ["dim", "value"], "left").groupBy().agg(*[of(d).alias(f"{d}s") for d in dims], of("bot", "username").alias("chatbots"), day(F.min).alias("first_day"), day(F.max).alias("last_day"))
 
 
 def status_counts(prs: DataFrame, bots: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Languages of the benchmark's source repositories.
-REPO_LANGUAGES = {"sentry": "Python", "grafana": "Go", "keycloak": "Java", "discourse": "Ruby", "cal.com": "TypeScript", "cal_dot_com": "TypeScript"}
+REPO_LANGUAGES = {
+    "keycloak": "Java", "sentry": "Python", "grafana": "Go", "discourse": "Ruby", "cal.com": "TypeScript", "calcom": "TypeScript", "cal_dot_com": "TypeScript",
+}
 
 
 def crosstab(rows: DataFrame, row: str, column: str, columns: Sequence[str]) -> DataFrame:
@@ -43,22 +45,41 @@ def frequencies(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(F.inline(pairs)).where("value is not null").groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def repo_language(repo):
-    """Language of a repository by its last name part, ``Unknown`` otherwise."""
+def repo_language(source_file: Column) -> Column:
+    """Language of a reference set by the name of its file without ``.json``, ``Unknown`` otherwise."""
     table = F.create_map(*[F.lit(x) for kv in REPO_LANGUAGES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, F.lower(F.element_at(F.split(repo, "/"), -1))), F.lit("Unknown"))
+    return F.coalesce(F.try_element_at(table, F.replace(source_file, F.lit(".json"), F.lit(""))), F.lit("Unknown"))
 
 
-def export_rows(reviews: DataFrame, matches: DataFrame) -> DataFrame:
-    """Per (url, tool): joined candidate texts, the last one, and a line per reference text marked found or missed.
+EXPORT = ["pr_id", "review_url", "review_text", "candidates", "last_comment", "golden_comments", "judge_results", "found_issues", "total_issues"]
 
-    ``reviews``: url, tool, candidates; ``matches``: url, tool, golden_idx, golden, matched.
+
+def export_rows(reviews: DataFrame, golden: DataFrame, candidates: DataFrame, scores: DataFrame, matches: DataFrame) -> DataFrame:
+    """The nine columns of :data:`EXPORT` (after ``url, tool``), one row per review.
+
+    ``reviews``: url, tool, original_url, review_url, bodies; ``golden``: url, golden_idx, golden, severity;
+    ``candidates``: url, tool, cand_idx, candidate; ``scores``: as ``review_scores`` gives them, absent where a review
+    was not evaluated; ``matches``: as ``golden_matches``. The verdicts list the found texts, then the missed ones.
     """
-    mark = F.concat(F.when(F.col("matched"), "[FOUND] ").otherwise("[MISSED] "), "golden")
-    lines = matches.groupBy("url", "tool").agg(F.sort_array(F.collect_list(F.struct("golden_idx", mark.alias("line")))).alias("ls"))
-    return reviews.join(lines, ["url", "tool"], "left").select(
-        "url", "tool", F.size("candidates").alias("n_candidates"), F.array_join("candidates", "\n---\n").alias("texts"), F.try_element_at("candidates", F.lit(-1)).alias("last_text"),
-        F.coalesce(F.array_join(F.transform("ls", lambda x: x.line), "\n"), F.lit("")).alias("verdicts"),
+    text = lambda c: F.coalesce(c, F.lit(""))
+    ordered = lambda *cols: F.transform(F.sort_array(F.collect_list(F.struct(*cols))), lambda e: e.line)
+    asked = golden.groupBy("url").agg(F.array_join(ordered("golden_idx", F.concat(F.lit("["), F.coalesce("severity", F.lit("Unknown")), F.lit("] "), text(F.col("golden"))).alias("line")), "\n\n").alias("golden_comments"))
+    named = candidates.groupBy("url", "tool").agg(F.array_join(ordered("cand_idx", text(F.col("candidate")).alias("line")), "\n\n").alias("candidates"))
+    # a text listed several times is judged once, with its last severity at its first place
+    severity = golden.groupBy("url", "golden").agg(F.max_by("severity", "golden_idx").alias("severity"), F.min("golden_idx").alias("first"))
+    judged = scores.where("not skipped").select("url", "tool").join(severity, "url").join(matches.select("url", "tool", "golden", "matched"), ["url", "tool", "golden"], "left")
+    hit = F.coalesce("matched", F.lit(False))
+    line = F.concat(F.when(hit, "[FOUND] [").otherwise("[MISSED] ["), F.coalesce("severity", F.lit("?")), F.lit("] "), "golden")
+    verdicts = judged.groupBy("url", "tool").agg(F.array_join(ordered((~hit).alias("missed"), "first", line.alias("line")), "\n").alias("verdicts"))
+    done = scores.select("url", "tool", "skipped", "tp", "total_golden", F.lit(True).alias("evaluated"))
+    rows = reviews.join(asked, "url", "left").join(named, ["url", "tool"], "left").join(done, ["url", "tool"], "left").join(verdicts, ["url", "tool"], "left")
+    real = F.filter("bodies", lambda b: F.length(b) > 0)
+    result = F.when(F.col("evaluated").isNull(), "Not evaluated").when(F.col("skipped"), "No golden comments").otherwise(text(F.col("verdicts")))
+    counted = lambda c: F.when(F.col("evaluated") & ~F.col("skipped"), F.col(c))
+    return rows.select(
+        "url", "tool", F.coalesce(F.nullif("original_url", F.lit("")), "url").alias("pr_id"), text(F.col("review_url")).alias("review_url"), F.array_join(real, "\n\n---\n\n").alias("review_text"),
+        text(F.col("candidates")).alias("candidates"), text(F.try_element_at("bodies", F.lit(-1))).alias("last_comment"), text(F.col("golden_comments")).alias("golden_comments"), result.alias("judge_results"),
+        counted("tp").alias("found_issues"), counted("total_golden").alias("total_issues"),
     )
 
 

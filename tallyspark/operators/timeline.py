@@ -42,44 +42,35 @@ def unseen_reviews(reviews: DataFrame, timeline: DataFrame) -> DataFrame:
 def thread_comments(threads: DataFrame) -> DataFrame:
     """One row per comment of the threads; a comment in two threads keeps the last of them."""
     rows = threads.select("pr_id", "thread_id", "is_resolved", F.explode("comments").alias("c")).select(
-        "pr_id", "thread_id", "is_resolved", F.col("c.id").alias("comment_id"), F.col("c.body").alias("body"), F.col("c.path").alias("path"), comment_line(F.col("c.original_line"), F.col("c.line")).alias("line"), F.col("c.author").alias("author")
-    )
-    best = F.max(F.struct("thread_id", "is_resolved", "body", "path", "line", "author")).alias("t")
+        "pr_id", "thread_id", "is_resolved", F.col("c.id").alias("comment_id"), F.col("c.body").alias("body"), F.col("c.path").alias("path"), comment_line(F.col("c.original_line"), F.col("c.line")).alias("line"), F.col("c.author").alias("author"),
+        F.array_sort(F.map_entries("c.reactions")).alias("reactions"),
+    )
+    best = F.max(F.struct("thread_id", "is_resolved", "body", "path", "line", "author", "reactions")).alias("t")
     return rows.where("comment_id is not null").groupBy("pr_id", "comment_id").agg(best).select("pr_id", "comment_id", "t.*")
 
 
 def enrich_with_threads(timeline: DataFrame, comments: DataFrame) -> DataFrame:
-    """Review comments take resolution and (if not empty) body from their thread; thread comments nobody saw are added."""
-    other = comments.select("pr_id", "comment_id", F.col("body").alias("t_body"), F.col("is_resolved").alias("t_resolved"))
+    """Review comments take thread, resolution, reactions and (if not empty) body from their thread; thread comments nobody saw are added."""
+    other = comments.select("pr_id", "comment_id", F.col("body").alias("t_body"), F.col("is_resolved").alias("t_resolved"), "thread_id", "reactions")
     known = timeline.join(other, ["pr_id", "comment_id"], "left").withColumns({"body": F.coalesce(F.nullif("t_body", F.lit("")), "body"), "is_resolved": F.col("t_resolved")}).drop("t_body", "t_resolved")
     missing = comments.join(timeline.where("comment_id is not null").select("pr_id", "comment_id").distinct(), ["pr_id", "comment_id"], "left_anti")
-    added = missing.select("pr_id", "comment_id", "body", "path", "line", "is_resolved", F.col("author").alias("actor"), F.lit("review_comment").alias("event_type"))
+    added = missing.select("pr_id", "comment_id", "body", "path", "line", "is_resolved", "thread_id", "reactions", F.coalesce("author", F.lit("unknown")).alias("actor"), F.lit("review_comment").alias("event_type"))
     return known.unionByName(added, allowMissingColumns=True)
 
 
+def _order() -> Column:
+    """Time (missing first), order index, source, then what else tells events apart."""
+    return F.struct(F.coalesce("ts", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), F.coalesce("order_index", F.lit(0)).alias("order_index"), F.coalesce("source_seq", F.lit(9)).alias("source_seq"), "comment_id", "event_type", "actor")
+
+
 def ordered(timeline: DataFrame) -> DataFrame:
-    """``pr_id, events``: nested form in order of time (missing first), order index, source, id."""
-    by = F.struct(F.coalesce("ts", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), F.coalesce("order_index", F.lit(0)).alias("order_index"), F.coalesce("source_seq", F.lit(9)).alias("source_seq"), "comment_id", "event_type", "actor")
-    return timeline.groupBy("pr_id").agg(F.sort_array(F.collect_list(by)).alias("events"))
-
-
-def stats(timeline: DataFrame, target: Column) -> DataFrame:
-    """Counts per pull request: events, commits, the target's review comments and all its comments, resolved comments."""
-    own = F.lower("actor") == F.lower(target)
-    return timeline.groupBy("pr_id").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.count_if(F.col("event_type") == "commit").alias("n_commits"),
-        F.count_if(own & (F.col("event_type") == "review_comment")).alias("n_target_review_comments"),
-        F.count_if(own & F.col("event_type").isin("review_comment", "issue_comment")).alias("n_target_comments"),
-        F.count_if(F.coalesce("is_resolved", F.lit(False))).alias("n_resolved"),
-    )
+    """``pr_id, events``: nested form in order. The list is the result, so a pull request is one row."""
+    return timeline.groupBy("pr_id").agg(F.sort_array(F.collect_list(_order())).alias("events"))
 
 
-def roles(timeline: DataFrame, target: Column) -> DataFrame:
-    """``pr_id, roles``: sorted set of author, reviewer, commenter the target takes in a pull request."""
-    own = F.lower("actor") == F.lower(target)
-    role = F.when(F.col("event_type").isin("review", "review_comment"), "reviewer").when(F.col("event_type") == "issue_comment", "commenter").when(F.col("event_type") == "pr_opened", "author")
-    return timeline.where(own & role.isNotNull()).groupBy("pr_id").agg(F.array_sort(F.collect_set(role)).alias("roles"))
+def summary(timeline: DataFrame) -> DataFrame:
+    """``pr_id, n, first_type, last_at`` of the ordered events, by partial aggregates alone."""
+    return timeline.groupBy("pr_id").agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("a"), F.max(_order()).alias("b")).select("pr_id", "n", F.col("a.event_type").alias("first_type"), F.col("b.at").alias("last_at"))
 
 
 def name_key(name: str) -> Column:
@@ -87,13 +78,19 @@ def name_key(name: str) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"\[bot\]$", "")
 
 
-def target_stats(prs: DataFrame, timeline: DataFrame, threads: DataFrame) -> DataFrame:
+def _same(actor: str, target: str, exact: bool) -> Column:
+    return F.col(actor) == F.col(target) if exact else name_key(actor) == name_key(target)
+
+
+def target_stats(prs: DataFrame, timeline: DataFrame, threads: DataFrame, exact: bool = False) -> DataFrame:
     """Counts of every pull request of ``prs(pr_id, target)`` (unique per pull request), each with its own target.
 
+    Names agree by :func:`name_key`, or only if they are equal with ``exact``.
+
     ``timeline`` is enriched with threads. Reviews count among the target's comments; threads and resolved threads are
     those of ``threads(pr_id, thread_id, is_resolved)``. A pull request without events or threads has zeros.
     """
-    own, kind = name_key("actor") == name_key("target"), F.col("event_type")
+    own, kind = _same("actor", "target", exact), F.col("event_type")
     events = timeline.join(prs.select("pr_id", "target"), "pr_id").groupBy("pr_id").agg(
         F.count(F.lit(1)).alias("n_events"), F.count_if(kind == "commit").alias("n_commits"), F.count_if(own & (kind == "review_comment")).alias("n_target_review_comments"),
         F.count_if(own & kind.isin("review_comment", "issue_comment", "review")).alias("n_target_comments"),
@@ -103,20 +100,21 @@ def target_stats(prs: DataFrame, timeline: DataFrame, threads: DataFrame) -> Dat
     return both.select("pr_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in both.columns if c != "pr_id"])
 
 
-def target_roles(prs: DataFrame, timeline: DataFrame) -> DataFrame:
-    """``pr_id, roles``: as :func:`roles`, for every pull request of ``prs(pr_id, target, pr_author)`` and its own target.
+def target_roles(prs: DataFrame, timeline: DataFrame, exact: bool = False) -> DataFrame:
+    """``pr_id, roles``: sorted set of author, commenter, reviewer that the target takes in each pull request of ``prs(pr_id, target, pr_author)``.
 
     The author is ``pr_author``, whoever opened it; no role gives an empty array.
     """
     kind = F.col("event_type")
     role = F.when(kind.isin("review", "review_comment"), "reviewer").when(kind == "issue_comment", "commenter")
-    acted = timeline.join(prs.select("pr_id", "target"), "pr_id").where((name_key("actor") == name_key("target")) & role.isNotNull()).select("pr_id", role.alias("role"))
-    wrote = prs.where(name_key("pr_author") == name_key("target")).select("pr_id", F.lit("author").alias("role"))
+    acted = timeline.join(prs.select("pr_id", "target"), "pr_id").where(_same("actor", "target", exact) & role.isNotNull()).select("pr_id", role.alias("role"))
+    wrote = prs.where(_same("pr_author", "target", exact)).select("pr_id", F.lit("author").alias("role"))
     found = acted.unionByName(wrote).groupBy("pr_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
     return prs.select("pr_id").join(found, "pr_id", "left").select("pr_id", F.coalesce("roles", F.array().cast("array<string>")).alias("roles"))
 
 
 def diff_lines(details: Column) -> Column:
     """Sum of additions and deletions over all files of all commits; NULL counts as 0."""
-    files = F.flatten(F.transform(details, lambda c: F.coalesce(c.files, F.array().cast("array<struct<filename:string,status:string,additions:bigint,deletions:bigint>>"))))
-    return F.aggregate(files, F.lit(0).cast("bigint"), lambda a, f: a + F.coalesce(f.additions, F.lit(0)) + F.coalesce(f.deletions, F.lit(0)))
+    size = lambda f: F.coalesce(f.additions, F.lit(0)) + F.coalesce(f.deletions, F.lit(0))
+    own = lambda c: F.coalesce(F.aggregate(c.files, F.lit(0).cast("bigint"), lambda a, f: a + size(f)), F.lit(0))
+    return F.aggregate(details, F.lit(0).cast("bigint"), lambda a, c: a + own(c))

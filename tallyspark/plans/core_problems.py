@@ -99,6 +99,15 @@ ez AS (SELECT pr_id, ix, e, json_extract_string(e, '$.event_id') AS event_id, js
 ev AS (SELECT pr_id, ix, row_number() OVER (PARTITION BY pr_id, event_id IS NULL ORDER BY ix) - 1 AS fix, event_id, e, CASE WHEN json_type(p) = 'VARCHAR' THEN {_OK.format("json_extract_string(p, '$')")} ELSE p END AS p FROM ez)"""
 
 
+P2_EVENTS = _EVS
+#: Entries of the file lists of timeline rows: ``f3(pr_id, event_id, f, ix, file_name)``.
+P2_FILES = f"""d0 AS (SELECT DISTINCT pr_id, event_id, {_OK.format("data")} AS j FROM timeline_events), d1 AS (SELECT pr_id, event_id, {_OK.format("k")} AS j FROM (SELECT *, {_JSON.format("j")} AS k FROM d0)),
+f0 AS (SELECT pr_id, event_id, json_extract(j, '$.files_detail') AS k FROM d1), f1 AS (SELECT pr_id, event_id, {_OK.format("k")} AS k FROM (SELECT pr_id, event_id, {_JSON.format("k")} AS k FROM f0)),
+f2 AS (SELECT pr_id, event_id, CASE WHEN json_type(k) = 'ARRAY' THEN CAST(k AS JSON[]) WHEN json_extract(k, '$.filename') IS NOT NULL THEN [CAST(k AS JSON)] WHEN json_type(k) = 'OBJECT' THEN list_transform(json_keys(k), lambda n: json_extract(k, '$."' || n || '"')) END AS fs,
+ CASE WHEN json_type(k) = 'OBJECT' AND json_extract(k, '$.filename') IS NULL THEN json_keys(k) END AS ns FROM f1),
+f3 AS (SELECT pr_id, event_id, unnest(fs) AS f, unnest(range(len(fs))) AS ix, unnest(coalesce(ns, list_transform(fs, lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE json_extract_string(x, '$.filename') END))) AS file_name FROM f2 WHERE fs IS NOT NULL)"""
+
+
 def _payload_sql(part: str, texts: tuple[str, ...], numbers: tuple[str, ...] = ()) -> str:
     cols = [f"json_extract_string(p, '$.{part}.{n}') AS {n}" for n in texts] + [f"CAST(json_extract_string(p, '$.{part}.{n}') AS BIGINT) AS {n}" for n in numbers]
     picked = "CAST(fix AS INTEGER) AS event_ix, " + ", ".join([*texts, *numbers])
@@ -113,11 +122,7 @@ SELECT pr_id, CAST(min(ix) AS INTEGER) AS event_ix, event_id, any_value(json_ext
     "p2_labels": f"""WITH {_EVS}, l0 AS (SELECT pr_id, ix, event_id, CASE WHEN json_type(p, '$.pull_request.labels') = 'ARRAY' THEN CAST(json_extract(p, '$.pull_request.labels') AS JSON[]) WHEN json_type(p, '$.pull_request.labels.nodes') = 'ARRAY' THEN CAST(json_extract(p, '$.pull_request.labels.nodes') AS JSON[]) END AS ls FROM ev WHERE event_id IS NOT NULL),
 l1 AS (SELECT pr_id, ix, event_id, unnest(ls) AS x, unnest(range(len(ls))) AS label_ix FROM l0), l2 AS (SELECT *, CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE json_extract_string(x, '$.name') END AS label FROM l1)
 SELECT pr_id, CAST(min(ix) AS INTEGER) AS event_ix, event_id, CAST(arg_min(label_ix, (ix, label_ix)) AS INTEGER) AS label_ix, label FROM l2 WHERE label IS NOT NULL GROUP BY pr_id, event_id, label""",
-    "p2_files": f"""WITH d0 AS (SELECT DISTINCT pr_id, event_id, {_OK.format("data")} AS j FROM timeline_events), d1 AS (SELECT pr_id, event_id, {_OK.format("k")} AS j FROM (SELECT *, {_JSON.format("j")} AS k FROM d0)),
-f0 AS (SELECT pr_id, event_id, json_extract(j, '$.files_detail') AS k FROM d1), f1 AS (SELECT pr_id, event_id, {_OK.format("k")} AS k FROM (SELECT pr_id, event_id, {_JSON.format("k")} AS k FROM f0)),
-f2 AS (SELECT pr_id, event_id, CASE WHEN json_type(k) = 'ARRAY' THEN CAST(k AS JSON[]) WHEN json_extract(k, '$.filename') IS NOT NULL THEN [CAST(k AS JSON)] WHEN json_type(k) = 'OBJECT' THEN list_transform(json_keys(k), lambda n: json_extract(k, '$."' || n || '"')) END AS fs,
- CASE WHEN json_type(k) = 'OBJECT' AND json_extract(k, '$.filename') IS NULL THEN json_keys(k) END AS ns FROM f1),
-f3 AS (SELECT pr_id, event_id, unnest(fs) AS f, unnest(range(len(fs))) AS ix, unnest(coalesce(ns, list_transform(fs, lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE json_extract_string(x, '$.filename') END))) AS file_name FROM f2 WHERE fs IS NOT NULL)
+    "p2_files": f"""WITH {P2_FILES}
 SELECT pr_id, event_id, CAST(ix AS INTEGER) AS file_ix, file_name, json_extract_string(f, '$.status') AS status, TRY_CAST(json_extract_string(f, '$.additions') AS BIGINT) AS additions, TRY_CAST(json_extract_string(f, '$.deletions') AS BIGINT) AS deletions
 FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, event_id, file_name ORDER BY ix) AS rn FROM f3 WHERE file_name IS NOT NULL) WHERE rn = 1""",
     "p2_reviews": _payload_sql("review", ("state", "body", "commit_id")),

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import labels
 from tallyspark.functions.scores import f_beta
 from tallyspark.operators import filters, metrics
+from tallyspark.operators import lifecycle as life
 from tallyspark.operators.filters import FilterSpec, apply_filters, spec_from_query
 from tallyspark.plans import views as v
-from tallyspark.sources.tables import table
+from tallyspark.session import ensure_checkpoint_dir
+from tallyspark.sources.tables import read_version, table, write_version
 
 FILTERED = FilterSpec(start=date(1995, 1, 1), end=date(1996, 12, 31), domains=("frontend", "infra", "other"), severities=("high", "medium"), diff_min=300, diff_max=2000, beta=1.0)
 _FILTER_SQL = """day BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND domain IN ('frontend', 'infra', 'other') AND severity IN ('high', 'medium')
@@ -83,22 +86,106 @@ def bot_scatter(spark, d):
     return _rounded(m.select("chatbot_id", "p", "r", f_beta(F.col("p"), F.col("r")).alias("f"), "n"), "p", "r", "f")
 
 
-def analysis_facts(spark, d):
-    """Analyses with their pull request and bot: the join behind every served figure."""
+def _labelled(spark, d):
+    """Analyses with their pull request, bot and labels: the joins behind every served figure; an analysis without labels stays."""
     bots = table(spark, d, "chatbots").select(F.col("id").alias("chatbot_id"), "github_username")
-    rows = v.analyses(spark, d).join(v.prs(spark, d).select(F.col("id").alias("pr_id"), "repo_name", "status", "diff_lines"), "pr_id").join(bots, "chatbot_id")
-    return rows.groupBy("github_username", "status").agg(F.count(F.lit(1)).alias("n"), F.count("precision").alias("n_precision"), F.sum("total_bot_comments").alias("comments"), F.sum("diff_lines").alias("diff_lines"))
+    p = v.prs(spark, d).select(F.col("id").alias("pr_id"), "repo_name", "pr_number", "pr_url", "status", "diff_lines", F.col("discovered_at").alias("reviewed_at"))
+    rows = v.analyses(spark, d).join(p, "pr_id").join(F.broadcast(bots), "chatbot_id")
+    parsed = labels.parsed_labels(F.col("labels"))
+    return rows.join(v.pr_labels(spark, d), ["pr_id", "chatbot_id"], "left").withColumns({n: c for n, c in parsed.items()})
+
+
+def analysis_facts(spark, d):
+    keys = ["github_username", "status", "domain", "severity"]
+    return _labelled(spark, d).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("precision").alias("n_precision"), F.count("language").alias("n_language"), F.sum("total_bot_comments").alias("comments"), F.sum("diff_lines").alias("diff_lines"))
+
+
+def labelled_facts(spark, d):
+    return _labelled(spark, d).select("id", "pr_id", "chatbot_id", "language", "domain", "pr_type", "severity")
+
+
+def detail_table(spark, d):
+    """The sixteen columns of the analysis table; a missing label is empty text."""
+    shown = {f"label_{n}": labels.display_label(F.col("labels"), n) for n in ("language", "domain", "pr_type", "severity")}
+    rows = _labelled(spark, d).withColumns(shown)
+    figures = [F.round(F.col(c).cast("double"), 4).alias(c) for c in ("precision", "recall", "f_beta")]
+    return rows.select("github_username", "repo_name", "pr_number", "pr_url", "diff_lines", "total_bot_comments", "matched_bot_comments", *figures, *shown, "model_name", F.date_format("analyzed_at", "yyyy-MM-dd HH:mm:ss").alias("analyzed_at"))
+
+
+def labels_lowered(spark, d):
+    low = F.col("low")
+    rows = v.pr_labels(spark, d).select("pr_id", labels.lowered(F.col("labels")).alias("low"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return rows.select("pr_id", *[text(F.try_element_at(low, F.lit(n))).alias(n) for n in ("language", "domain", "severity")], text(F.try_variant_get(F.try_element_at(low, F.lit("tags")), "$[0]", "string")).alias("tag"))
+
+
+def status_counts_filtered(spark, d):
+    """Status counts of the pull requests whose labels pass a filter; unlabelled ones do not."""
+    p = v.prs(spark, d).join(v.pr_labels(spark, d).select(F.col("pr_id").alias("id"), "labels"), "id", "left").withColumns(labels.parsed_labels(F.col("labels")))
+    return p.where(filters.dims_match({"domain": ["infra", "docs"], "severity": ["high"]})).groupBy("chatbot_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def analyses_newest_first(spark, d):
+    return v.analyses(spark, d).orderBy(F.desc("analyzed_at"), "id").limit(150).select("id", "pr_id", "model_name")
+
+
+def bot_order(spark, d):
+    """Bots numbered by first appearance in load order: rows without a review time come first, then by time."""
+    rows = _labelled(spark, d).groupBy("github_username").agg(F.min(F.struct(F.col("reviewed_at").isNotNull().alias("dated"), "reviewed_at", "id")).alias("first"))
+    return rows.select("github_username", (F.row_number().over(Window.orderBy("first")) - 1).alias("position"))  # one row per bot
+
+
+def load_order(spark, d):
+    return v.analyses(spark, d).join(v.prs(spark, d).select(F.col("id").alias("pr_id"), F.when(F.col("id") % 50 != 0, F.col("discovered_at")).alias("reviewed_at")), "pr_id").orderBy(F.asc_nulls_first("reviewed_at"), "id").limit(120).select("id", "pr_id")
+
+
+def client_sort(spark, d):
+    return metrics.sorted_metrics(_board(FilterSpec())(spark, d), "sampled_prs").limit(25)
+
+
+def first_repo_per_tool(spark, d):
+    """Test mode: the first repository of each tool by name, three tools."""
+    first = v.prs(spark, d).groupBy("chatbot_id").agg(F.min("repo_name").alias("repo_name"))
+    return first.orderBy("chatbot_id").limit(3)
+
+
+def labels_upsert(spark, d):
+    """Labels written again for even pull requests replace the old ones."""
+    old = v.pr_labels(spark, d).withColumn("labeled_at", F.lit("2025-01-01").cast("timestamp_ntz"))
+    new = old.where("pr_id % 2 = 0").withColumns({"labels": F.lit("{}"), "labeled_at": F.lit("2025-02-01").cast("timestamp_ntz")})
+    return life.upsert(old, new, ["pr_id", "chatbot_id"], ["labeled_at"]).select("pr_id", "chatbot_id", F.col("labels").eqNullSafe("{}").alias("replaced"))
+
+
+def volumes_upsert(spark, d):
+    """Volumes of a later run replace those of the same bot and day and add the others."""
+    all_ = v.volumes(spark, d).withColumn("created_at", F.lit(1))
+    return life.upsert(all_.where("day < DATE '2024-01-20'"), all_.where("day > DATE '2024-01-10'").withColumns({"pr_count": F.col("pr_count") + 1, "created_at": F.lit(2)}), ["bot", "day"], ["created_at"]).select("bot", "day", "pr_count")
+
+
+def analysed_status(spark, d):
+    """Saving an analysis moves its pull request to ``analyzed``."""
+    done = table(spark, d, "llm_analyses").select(F.col("pr_id").alias("id")).distinct().withColumn("status", F.lit("analyzed"))
+    return life.update_columns(v.prs(spark, d).select("id", "status"), done, ["id"], ["status"])
+
+
+def version_swap(spark, d):
+    """A table replaced as a whole is read back from its new version."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+    write_version(table(spark, d, "chatbots").limit(0).select("id", "github_username"), root, "bots")
+    write_version(table(spark, d, "chatbots").select("id", "github_username"), root, "bots")
+    return read_version(spark, root, "bots")
 
 
 def size_filter_dashboard(spark, d):
     f = v.facts(spark, d)
-    part = lambda name, cond: f.where(cond).agg(F.lit(name).alias("mode"), F.count(F.lit(1)).alias("n"))
-    return part("default", filters.dashboard_size_ok(0, 2000, False)).unionByName(part("above", filters.dashboard_size_ok(500, 1500, True))).unionByName(part("inside", filters.dashboard_size_ok(500, 1500, False)))
+    modes = {"default": filters.dashboard_size_ok(0, 2000, False), "above": filters.dashboard_size_ok(500, 1500, True), "inside": filters.dashboard_size_ok(500, 1500, False)}
+    kept = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in modes.items()]), lambda x: x.isNotNull())
+    return f.select("pr", "bot", F.explode(kept).alias("mode")).groupBy("mode", "pr", "bot").agg(F.count(F.lit(1)).alias("n"))
 
 
 def request_filter(spark, d):
-    spec = spec_from_query({"start_date": "1996-01-01", "end_date": "bad", "chatbot": "supplier#000000003, bot 5", "severity": "unknown", "domain": "infrastructure,zzz", "include_ignored": "true"})
-    return _found(spark, d, spec).facts.groupBy("username", "domain").agg(F.count(F.lit(1)).alias("n"))
+    spec = spec_from_query({"start_date": "1993-01-01", "end_date": "bad", "chatbot": "supplier#000000003, bot 5,supplier#000000010,Bot 12", "severity": "unknown", "domain": "infrastructure,zzz", "include_ignored": "true"})
+    return _found(spark, d, spec).facts.select("username", "pr", "day", "domain", "severity")
 
 
 QUERIES = {
@@ -107,6 +194,8 @@ QUERIES = {
     "daily_metrics": _daily(FilterSpec()), "daily_metrics_min_day": _daily(FilterSpec(min_per_day=2, beta=0.5)), "daily_filtered": _daily(FILTERED),
     "daily_mean_f_vs_f_of_means": daily_mean_f_vs_f_of_means, "volumes_zero_fill": volumes_zero_fill, "volume_totals": volume_totals, "eligible_bots_min_total": eligible_bots_min_total,
     "filter_options_long": filter_options_long, "filter_options": filter_options, "date_bounds": date_bounds, "label_normalise": label_normalise, "status_counts": status_counts,
+    "labelled_facts": labelled_facts, "detail_table": detail_table, "labels_lowered": labels_lowered, "status_counts_filtered": status_counts_filtered, "analyses_newest_first": analyses_newest_first, "bot_order": bot_order,
+    "load_order": load_order, "client_sort": client_sort, "first_repo_per_tool": first_repo_per_tool, "labels_upsert": labels_upsert, "volumes_upsert": volumes_upsert, "analysed_status": analysed_status, "version_swap": version_swap,
     "bot_scatter": bot_scatter, "analysis_facts": analysis_facts, "size_filter_dashboard": size_filter_dashboard, "request_filter": request_filter,
 }
 
@@ -137,6 +226,7 @@ FROM facts JOIN bots USING (bot) WHERE "precision" IS NOT NULL AND day IS NOT NU
 
 
 SQL = {
+    "client_sort": _board_sql("NOT ignored") + " ORDER BY sampled_prs DESC NULLS LAST, chatbot LIMIT 25",
     "leaderboard_all": _board_sql("NOT ignored"),
     "leaderboard_filtered": _board_sql(f"NOT ignored AND {_FILTER_SQL}").replace("FROM vol GROUP", "FROM vol WHERE day BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP"),
     "leaderboard_min_day": _board_sql("NOT ignored", least=2),
@@ -166,10 +256,24 @@ SELECT (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT language AS x FROM fac
     "status_counts": "SELECT github_username AS username, status, count(DISTINCT p.id) AS n FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY discovered_at DESC) AS rn FROM prs) WHERE rn = 1) p JOIN chatbots c ON p.chatbot_id = c.id GROUP BY 1, 2",
     "bot_scatter": f"""WITH {v.ANALYSES} SELECT chatbot_id, round(avg(CAST("precision" AS DOUBLE)), 6) AS p, round(avg(CAST(recall AS DOUBLE)), 6) AS r, {_f('avg(CAST("precision" AS DOUBLE))', "avg(CAST(recall AS DOUBLE))", 1.0)} AS f, count(*) AS n
 FROM a WHERE "precision" IS NOT NULL AND recall IS NOT NULL GROUP BY 1""",
-    "analysis_facts": f"""WITH {v.ANALYSES}, {v.PRS} SELECT github_username, status, count(*) AS n, count("precision") AS n_precision, CAST(sum(total_bot_comments) AS BIGINT) AS comments, CAST(sum(diff_lines) AS BIGINT) AS diff_lines
-FROM a JOIN p ON a.pr_id = p.id JOIN chatbots c ON a.chatbot_id = c.id GROUP BY 1, 2""",
-    "size_filter_dashboard": f"""{_WITH} SELECT 'default' AS mode, count(*) AS n FROM facts WHERE diff_lines IS NULL OR diff_lines BETWEEN 0 AND 2000
-UNION ALL SELECT 'above', count(*) FROM facts WHERE diff_lines >= 500 UNION ALL SELECT 'inside', count(*) FROM facts WHERE diff_lines BETWEEN 500 AND 1500""",
-    "request_filter": f"""{_WITH} SELECT username, domain, count(*) AS n FROM facts JOIN bots USING (bot)
-WHERE day >= DATE '1996-01-01' AND (lower(username) = 'supplier#000000003' OR lower(display_name) = 'bot 5') AND domain IN ('infra', 'other') GROUP BY 1, 2""",
+    "analysis_facts": f"""WITH {v.PRS}, {v.ANALYSES}, {v.LABELS}, x AS (SELECT a.*, github_username, repo_name, pr_number, pr_url, p.status, diff_lines, p.discovered_at AS reviewed_at, language, domain, pr_type, severity, lb.pr_id IS NOT NULL AS has FROM a JOIN p ON a.pr_id = p.id JOIN chatbots c ON a.chatbot_id = c.id LEFT JOIN lb ON lb.pr_id = a.pr_id AND lb.chatbot_id = a.chatbot_id) SELECT github_username, status, domain, severity, count(*) AS n, count("precision") AS n_precision, count(language) AS n_language, CAST(sum(total_bot_comments) AS BIGINT) AS comments, CAST(sum(diff_lines) AS BIGINT) AS diff_lines FROM x GROUP BY 1, 2, 3, 4""",
+    "size_filter_dashboard": f"""{_WITH} SELECT 'default' AS mode, pr, bot, count(*) AS n FROM facts WHERE diff_lines IS NULL OR diff_lines BETWEEN 0 AND 2000 GROUP BY 2, 3
+UNION ALL SELECT 'above', pr, bot, count(*) FROM facts WHERE diff_lines >= 500 GROUP BY 2, 3 UNION ALL SELECT 'inside', pr, bot, count(*) FROM facts WHERE diff_lines BETWEEN 500 AND 1500 GROUP BY 2, 3""",
+    "request_filter": f"""{_WITH} SELECT username, pr, day, domain, severity FROM facts JOIN bots USING (bot)
+WHERE day >= DATE '1993-01-01' AND (lower(username) IN ('supplier#000000003', 'supplier#000000010') OR lower(display_name) IN ('bot 5', 'bot 12')) AND domain IN ('infra', 'other')""",
+    "labelled_facts": f"""WITH {v.PRS}, {v.ANALYSES}, {v.LABELS}, x AS (SELECT a.*, github_username, repo_name, pr_number, pr_url, p.status, diff_lines, p.discovered_at AS reviewed_at, language, domain, pr_type, severity, lb.pr_id IS NOT NULL AS has FROM a JOIN p ON a.pr_id = p.id JOIN chatbots c ON a.chatbot_id = c.id LEFT JOIN lb ON lb.pr_id = a.pr_id AND lb.chatbot_id = a.chatbot_id) SELECT id, pr_id, chatbot_id, language, domain, pr_type, severity FROM x""",
+    "detail_table": f"""WITH {v.PRS}, {v.ANALYSES}, {v.LABELS}, x AS (SELECT a.*, github_username, repo_name, pr_number, pr_url, p.status, diff_lines, p.discovered_at AS reviewed_at, language, domain, pr_type, severity, lb.pr_id IS NOT NULL AS has FROM a JOIN p ON a.pr_id = p.id JOIN chatbots c ON a.chatbot_id = c.id LEFT JOIN lb ON lb.pr_id = a.pr_id AND lb.chatbot_id = a.chatbot_id) SELECT github_username, repo_name, pr_number, pr_url, diff_lines, total_bot_comments, matched_bot_comments, round(CAST("precision" AS DOUBLE), 4) AS "precision", round(CAST(recall AS DOUBLE), 4) AS recall, round(CAST(f_beta AS DOUBLE), 4) AS f_beta,
+ CASE WHEN has AND pr_id % 7 <> 0 THEN [' python ', 'go', '', ''][pr_id % 4 + 1] ELSE '' END AS label_language, CASE WHEN has AND pr_id % 7 <> 0 THEN ['infrastructure', 'docs', 'games'][pr_id % 3 + 1] ELSE '' END AS label_domain,
+ CASE WHEN has AND pr_id % 7 <> 0 THEN ['bug', 'tests', 'feature', ' '][pr_id % 4 + 1] ELSE '' END AS label_pr_type, CASE WHEN has AND pr_id % 7 <> 0 THEN ['high', ' low', 'urgent'][pr_id % 3 + 1] ELSE '' END AS label_severity, model_name, strftime(analyzed_at, '%Y-%m-%d %H:%M:%S') AS analyzed_at FROM x""",
+    "labels_lowered": f"""WITH {v.PRS} SELECT id AS pr_id, CASE WHEN id % 7 <> 0 THEN [' python ', 'go', '5', ''][id % 4 + 1] ELSE '' END AS language, CASE WHEN id % 7 <> 0 THEN ['infrastructure', 'docs', 'games'][id % 3 + 1] ELSE '' END AS domain, CASE WHEN id % 7 <> 0 THEN ['high', ' low', 'urgent'][id % 3 + 1] ELSE '' END AS severity,
+ CASE WHEN id % 7 <> 0 THEN ['big', 'small'][id % 2 + 1] ELSE '' END AS tag FROM p WHERE id % 5 <> 0""",
+    "status_counts_filtered": f"""WITH {v.PRS}, {v.LABELS} SELECT p.chatbot_id, status, count(*) AS n FROM p JOIN lb ON lb.pr_id = p.id WHERE domain IN ('infra', 'docs') AND severity = 'high' GROUP BY 1, 2""",
+    "analyses_newest_first": f"""WITH {v.ANALYSES} SELECT id, pr_id, model_name FROM a ORDER BY analyzed_at DESC, id LIMIT 150""",
+    "bot_order": f"""WITH {v.PRS}, {v.ANALYSES}, {v.LABELS}, x AS (SELECT a.*, github_username, repo_name, pr_number, pr_url, p.status, diff_lines, p.discovered_at AS reviewed_at, language, domain, pr_type, severity, lb.pr_id IS NOT NULL AS has FROM a JOIN p ON a.pr_id = p.id JOIN chatbots c ON a.chatbot_id = c.id LEFT JOIN lb ON lb.pr_id = a.pr_id AND lb.chatbot_id = a.chatbot_id), f AS (SELECT github_username, min({{'d': reviewed_at IS NOT NULL, 'r': reviewed_at, 'i': id}}) AS k FROM x GROUP BY 1) SELECT github_username, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position FROM f""",
+    "load_order": f"""WITH {v.PRS}, {v.ANALYSES} SELECT a.id, a.pr_id FROM a JOIN p ON a.pr_id = p.id ORDER BY CASE WHEN p.id % 50 <> 0 THEN discovered_at END NULLS FIRST, a.id LIMIT 120""",
+    "first_repo_per_tool": f"""WITH {v.PRS} SELECT chatbot_id, min(repo_name) AS repo_name FROM p GROUP BY 1 ORDER BY 1 LIMIT 3""",
+    "labels_upsert": f"""WITH {v.PRS} SELECT id AS pr_id, chatbot_id, id % 2 = 0 AS replaced FROM p WHERE id % 5 <> 0""",
+    "volumes_upsert": f"""{_WITH} SELECT bot, day, CASE WHEN day > DATE '2024-01-10' THEN pr_count + 1 ELSE pr_count END AS pr_count FROM vol""",
+    "analysed_status": f"""WITH {v.PRS} SELECT id, CASE WHEN id IN (SELECT pr_id FROM llm_analyses) THEN 'analyzed' ELSE status END AS status FROM p""",
+    "version_swap": """SELECT id, github_username FROM chatbots""",
 }

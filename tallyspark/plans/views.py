@@ -105,3 +105,18 @@ def comments(spark: SparkSession, d: str) -> DataFrame:
 
 
 COMMENTS = "tc AS (SELECT comment_id, thread_id, pr_id, in_reply_to_id, author, body, path, ingested_at AS ts FROM (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY ingested_at) AS rn FROM thread_comments) WHERE rn = 1)"
+
+
+def pr_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Label documents of four in five analysed pull requests: ``pr_id, chatbot_id, labels``, written by a rule on their numbers."""
+    p = prs(spark, d).where("id % 5 <> 0")
+    one = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("id") % n + 1).cast("int"))
+    doc = F.format_string(
+        '{"language": %s, "domain": "%s", "pr_type": "%s", "severity": "%s", "tags": ["%s", 7, null]}',
+        one(4, '" Python "', '"GO"', "5", '""'), one(3, "Infrastructure", "docs", "games"), one(4, "Bug", "tests", "feature", " "), one(3, "HIGH", " low", "urgent"), one(2, "Big", "SMALL"),
+    )
+    return p.select(F.col("id").alias("pr_id"), "chatbot_id", F.when(F.col("id") % 7 == 0, '{"language": "Go"').otherwise(doc).alias("labels"))
+
+
+LABELS = """lb AS (SELECT id AS pr_id, chatbot_id, CASE WHEN id % 7 <> 0 THEN ['python', 'go', NULL, NULL][id % 4 + 1] END AS language, CASE WHEN id % 7 <> 0 THEN ['infra', 'docs', 'other'][id % 3 + 1] END AS domain,
+ CASE WHEN id % 7 <> 0 THEN ['bugfix', 'test', 'feature', NULL][id % 4 + 1] END AS pr_type, CASE WHEN id % 7 <> 0 THEN ['high', 'low', NULL][id % 3 + 1] END AS severity FROM p WHERE id % 5 <> 0)"""

@@ -26,9 +26,19 @@ def daily_counts(stream: DataFrame, *keys: str) -> DataFrame:
     return stream.withWatermark("ts", LATE).groupBy(F.window("ts", "1 day"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.to_date("window.start").alias("day"), *keys, "n")
 
 
-def first_seen(stream: DataFrame) -> DataFrame:
-    """``bot, pr_key, first_ts``: earliest time per pull request, updated as earlier rows arrive; late data is no special case."""
-    return stream.groupBy("bot", "pr_key").agg(F.min("ts").alias("first_ts"))
+def first_seen(stream: DataFrame, root: str) -> DataFrame:
+    """``bot, pr_key, first_ts``: earliest time per pull request of what is there now.
+
+    Every micro-batch is reduced to its own earliest times and appended to a table under ``root``; the earliest of those
+    is taken on reading. The stream keeps no state, so its memory does not grow with the keys, and a row that comes late
+    by any time still counts. A batch that is repeated after a failure writes its own part again.
+    """
+
+    def part(batch: DataFrame, number: int) -> None:
+        batch.groupBy("bot", "pr_key").agg(F.min("ts").alias("first_ts")).write.mode("overwrite").parquet(f"{root}/parts/batch={number}")
+
+    upsert_stream(stream, part, f"{root}/checkpoint").awaitTermination()
+    return stream.sparkSession.read.parquet(f"{root}/parts").groupBy("bot", "pr_key").agg(F.min("first_ts").alias("first_ts"))
 
 
 def first_seen_volumes(first: DataFrame) -> DataFrame:
@@ -36,11 +46,21 @@ def first_seen_volumes(first: DataFrame) -> DataFrame:
     return first.groupBy("bot", F.to_date("first_ts").alias("day")).agg(F.count(F.lit(1)).alias("pr_count"))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its memory table: for tests and small results only."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def settled(stream: DataFrame, keys: list[str], root: str) -> DataFrame:
+    """Run an aggregating stream over what is there; the last row of each of its keys.
+
+    Changed rows of every micro-batch go to a table under ``root``, nothing is held by the driver; windows that the
+    watermark has passed leave the state.
+    """
+
+    def part(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/parts/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(part).outputMode("update").option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{root}/parts")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
 def upsert_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
