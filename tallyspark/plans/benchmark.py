@@ -15,27 +15,33 @@ from tallyspark.operators import reports as rep
 from tallyspark.operators.filters import dims_match
 from tallyspark.operators.tree_aggregate import normal_repo
 from tallyspark.plans import views as v
+from tallyspark.session import cut_lineage
 from tallyspark.sources.tables import table
 from tallyspark.streaming import incremental as inc
 
 DIMS = ["language", "pr_size", "domain", "change_type", "complexity", "difficulty", "risk", "context", "concern"]
 
 
-def _golden(spark, d):
+def _comments(spark, d):
+    """The messages, one row per comment, from one scan: every side of the matching reads them again."""
+    return cut_lineage(v.comments(spark, d).select("thread_id", "comment_id", "in_reply_to_id", "author", "body", "path"))
+
+
+def _golden(c):
     """Opening comments of a thread are its reference texts."""
-    c = v.comments(spark, d).where("in_reply_to_id is null and body is not null")
+    c = c.where("in_reply_to_id is null and body is not null")
     return c.select(F.col("thread_id").alias("url"), F.col("comment_id").alias("golden_idx"), F.col("body").alias("golden"))
 
 
-def _candidates(spark, d):
+def _candidates(c):
     """Replies are the candidates of their author as tool."""
-    c = v.comments(spark, d).where("in_reply_to_id is not null and body is not null")
+    c = c.where("in_reply_to_id is not null and body is not null")
     return c.select(F.col("thread_id").alias("url"), F.lower(F.coalesce("author", F.lit("none"))).alias("tool"), F.col("comment_id").alias("cand_idx"), F.col("body").alias("candidate"))
 
 
-def _all_reviews(spark, d):
+def _all_reviews(c):
     """Everyone who took part in a thread reviewed it, also those without a reply of their own."""
-    return v.comments(spark, d).select(F.col("thread_id").alias("url"), F.lower(F.coalesce("author", F.lit("none"))).alias("tool")).distinct()
+    return c.select(F.col("thread_id").alias("url"), F.lower(F.coalesce("author", F.lit("none"))).alias("tool")).distinct()
 
 
 def _judge(p):
@@ -43,46 +49,50 @@ def _judge(p):
     return mat.lexical_judge(0.1)(p).withColumn("error", F.when(F.length("candidate") > 250, "too long"))
 
 
-def _scores_of(spark, d):
-    return mat.review_scores(_all_reviews(spark, d), _golden(spark, d), _candidates(spark, d), _judge)
+def _scores_of(c):
+    return mat.review_scores(_all_reviews(c), _golden(c), _candidates(c), _judge)
+
+
+def _accepted(c):
+    return mat.accepted(_judge(mat.pairs(_golden(c), _candidates(c))))
 
 
 def match_matrix(spark, d):
-    acc = mat.accepted(_judge(mat.pairs(_golden(spark, d), _candidates(spark, d))))
-    return acc.select("url", "tool", "golden_idx", "cand_idx", F.round("confidence", 6).alias("confidence"), "match", "accepted", "failed")
+    return _accepted(_comments(spark, d)).select("url", "tool", "golden_idx", "cand_idx", F.round("confidence", 6).alias("confidence"), "match", "accepted", "failed")
 
 
 def golden_matches(spark, d):
-    return mat.golden_matches(mat.accepted(_judge(mat.pairs(_golden(spark, d), _candidates(spark, d))))).select("url", "tool", "golden_idx", "matched", F.coalesce("candidate", F.lit("")).alias("candidate"))
+    return mat.golden_matches(_accepted(_comments(spark, d))).select("url", "tool", "golden_idx", "matched", F.coalesce("candidate", F.lit("")).alias("candidate"))
 
 
 def match_review_metrics(spark, d):
-    return _scores_of(spark, d).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+    return _scores_of(_comments(spark, d)).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
 def match_micro_avg(spark, d):
-    return mat.micro_average(_scores_of(spark, d)).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+    return mat.micro_average(_scores_of(_comments(spark, d))).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 def dashboard_averages(spark, d):
     """Percentages to six digits here, as the display's one digit hides and flips nothing else."""
-    rows = mat.micro_average(_scores_of(spark, d), keep_skipped=True)
+    rows = mat.micro_average(_scores_of(_comments(spark, d)), keep_skipped=True)
     return rows.select("tool", F.col("reviews").alias("num_prs"), *[percent(F.col(c), 4).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def chosen_candidates(spark, d):
-    c = _candidates(spark, d)
+    c = _candidates(v.comments(spark, d))
     raw = c.groupBy("url", "tool").agg(F.sort_array(F.collect_list("candidate")).alias("bodies"))
     cached = c.where("cand_idx % 4 = 0").groupBy("url", "tool").agg(F.collect_list(F.when(F.col("cand_idx") % 8 == 0, F.col("candidate"))).alias("texts"))
     return mat.chosen_candidates(raw, cached).select("url", "tool", F.size("candidates").alias("n"))
 
 
 def export_report(spark, d):
-    g = _golden(spark, d).join(v.comments(spark, d).select(F.col("comment_id").alias("golden_idx"), F.when(F.col("path").isNotNull(), "High").alias("severity")), "golden_idx")
-    c = _candidates(spark, d)
+    own = _comments(spark, d)
+    g = _golden(own).join(own.select(F.col("comment_id").alias("golden_idx"), F.when(F.col("path").isNotNull(), "High").alias("severity")), "golden_idx")
+    c = _candidates(own)
     bodies = c.groupBy("url", "tool").agg(F.sort_array(F.collect_list(F.struct("cand_idx", "candidate"))).alias("x")).select("url", "tool", F.transform("x", lambda e: e.candidate).alias("bodies"))
-    reviews = _all_reviews(spark, d).join(bodies, ["url", "tool"], "left").withColumns({"bodies": F.coalesce("bodies", F.array().cast("array<string>")), "original_url": F.lit(""), "review_url": F.concat("url", F.lit("/"), "tool")})
-    scores = _scores_of(spark, d).where("tool <> 'none'")
+    reviews = _all_reviews(own).join(bodies, ["url", "tool"], "left").withColumns({"bodies": F.coalesce("bodies", F.array().cast("array<string>")), "original_url": F.lit(""), "review_url": F.concat("url", F.lit("/"), "tool")})
+    scores = _scores_of(own).where("tool <> 'none'")
     return rep.export_rows(reviews, g, c, scores, mat.golden_matches(mat.accepted(_judge(mat.pairs(g.drop("severity"), c)))))
 
 
@@ -236,7 +246,8 @@ def set_ops_bots(spark, d):
 
 
 def scorer_udf_pairs(spark, d):
-    p = mat.pairs(_golden(spark, d), _candidates(spark, d))
+    c = _comments(spark, d)
+    p = mat.pairs(_golden(c), _candidates(c))
     verdict = p.select("url", "tool", "golden_idx", "cand_idx", scorers.pair_verdict(F.col("golden"), F.col("candidate")).alias("verdict"))
     return verdict.select("url", "tool", "golden_idx", "cand_idx", "verdict.match", F.round("verdict.confidence", 6).alias("confidence"))
 

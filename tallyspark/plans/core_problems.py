@@ -115,7 +115,15 @@ def _payload_sql(part: str, texts: tuple[str, ...], numbers: tuple[str, ...] = (
 SELECT pr_id, event_id, {part}_id, {picked} FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, event_id, {part}_id ORDER BY fix) AS rn FROM x) WHERE rn = 1"""
 
 
+_LINKS = f"""WITH {_EVS}, {P2_FILES}, l0 AS (SELECT pr_id, event_id, CASE WHEN json_type(p, '$.pull_request.labels') = 'ARRAY' THEN CAST(json_extract(p, '$.pull_request.labels') AS JSON[]) WHEN json_type(p, '$.pull_request.labels.nodes') = 'ARRAY' THEN CAST(json_extract(p, '$.pull_request.labels.nodes') AS JSON[]) END AS ls FROM ev WHERE event_id IS NOT NULL),
+l1 AS (SELECT pr_id, event_id, unnest(ls) AS x FROM l0), th AS (SELECT pr_id, thread_id, unnest(comments) AS c FROM review_threads), re AS (SELECT pr_id, c.id AS id, unnest(map_entries(c.reactions)) AS e FROM th),
+k AS (SELECT pr_id, CAST(pr_id AS VARCHAR) AS parent_id, 'event' AS child_kind, event_id AS child_id FROM ev
+ UNION ALL SELECT pr_id, event_id, 'review', json_extract_string(p, '$.review.id') FROM ev UNION ALL SELECT pr_id, event_id, 'comment', json_extract_string(p, '$.comment.id') FROM ev
+ UNION ALL SELECT pr_id, event_id, 'label', CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE json_extract_string(x, '$.name') END FROM l1
+ UNION ALL SELECT pr_id, CAST(event_id AS VARCHAR), 'file', file_name FROM f3 UNION ALL SELECT pr_id, thread_id, 'thread_comment', CAST(c.id AS VARCHAR) FROM th UNION ALL SELECT pr_id, CAST(id AS VARCHAR), 'reaction', e.key FROM re WHERE e.value > 0)"""
+
 SQL = {
+    "p2_found": f"{_LINKS} SELECT DISTINCT * FROM k WHERE parent_id IS NOT NULL AND child_id IS NOT NULL",
     "p2_events": f"""WITH {_EVS}
 SELECT pr_id, CAST(min(ix) AS INTEGER) AS event_ix, event_id, any_value(json_extract_string(e, '$.type')) AS type, any_value(json_extract_string(e, '$.actor')) AS actor, any_value(json_extract_string(e, '$.created_at')) AS created_at,
  any_value(CAST(coalesce(json_extract_string(e, '$.pr_number'), json_extract_string(p, '$.pull_request.number'), json_extract_string(p, '$.issue.number')) AS BIGINT)) AS pr_number FROM ev WHERE event_id IS NOT NULL GROUP BY pr_id, event_id""",

@@ -471,12 +471,19 @@ rc AS (SELECT pr_id, c.id AS comment_id, max(thread_id) AS thread_id, max_by(c.b
  max_by(len(map_keys(c.reactions)), thread_id) AS n_reactions FROM r WHERE c.id IS NOT NULL GROUP BY 1, 2),
 en AS (SELECT t.pr_id, event_type, actor, t.comment_id, coalesce(nullif(rc.body, ''), t.body) AS body, rc.is_resolved, rc.thread_id, n_reactions FROM t LEFT JOIN rc ON rc.pr_id = t.pr_id AND rc.comment_id = t.comment_id
  UNION ALL SELECT pr_id, 'review_comment', coalesce(author, 'unknown'), comment_id, body, is_resolved, thread_id, n_reactions FROM rc WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.pr_id = rc.pr_id AND t.comment_id = rc.comment_id))"""
-_STATS = f"""{_TL}, {_THREADS}, ev AS (SELECT en.pr_id, count(*) AS n_events, count(*) FILTER (event_type = 'commit') AS n_commits, count(*) FILTER (event_type = 'review_comment' AND actor = target) AS n_target_review_comments,
- count(*) FILTER (event_type IN ('review', 'review_comment', 'issue_comment') AND actor = target) AS n_target_comments FROM en JOIN bots USING (pr_id) GROUP BY 1),
+_SAME = {"exact": "{0} = {1}", "loose": "regexp_replace(lower(trim({0})), '\\[bot\\]$', '') = regexp_replace(lower(trim({1})), '\\[bot\\]$', '')"}
+
+
+def _stats_sql(same: str) -> str:
+    own = _SAME[same].format("actor", "target")
+    return f"""{_TL}, {_THREADS}, ev AS (SELECT en.pr_id, count(*) AS n_events, count(*) FILTER (event_type = 'commit') AS n_commits, count(*) FILTER (event_type = 'review_comment' AND {own}) AS n_target_review_comments,
+ count(*) FILTER (event_type IN ('review', 'review_comment', 'issue_comment') AND {own}) AS n_target_comments FROM en JOIN bots USING (pr_id) GROUP BY 1),
 th AS (SELECT pr_id, count(DISTINCT thread_id) AS n_threads, count(DISTINCT CASE WHEN is_resolved THEN thread_id END) AS n_resolved FROM review_threads GROUP BY 1),
 st AS (SELECT bots.pr_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_events", "n_commits", "n_target_review_comments", "n_target_comments", "n_threads", "n_resolved"))} FROM bots LEFT JOIN ev USING (pr_id) LEFT JOIN th USING (pr_id)),
-rk AS (SELECT DISTINCT en.pr_id, CASE WHEN event_type IN ('review', 'review_comment') THEN 'reviewer' WHEN event_type = 'issue_comment' THEN 'commenter' END AS role FROM en JOIN bots USING (pr_id) WHERE actor = target UNION SELECT pr_id, 'author' FROM bots WHERE pr_author = target),
+rk AS (SELECT DISTINCT en.pr_id, CASE WHEN event_type IN ('review', 'review_comment') THEN 'reviewer' WHEN event_type = 'issue_comment' THEN 'commenter' END AS role FROM en JOIN bots USING (pr_id) WHERE {own} UNION SELECT pr_id, 'author' FROM bots WHERE {_SAME[same].format('pr_author', 'target')}),
 rl AS (SELECT bots.pr_id, coalesce(string_agg(role, ',' ORDER BY role) FILTER (role IS NOT NULL), '') AS roles FROM bots LEFT JOIN rk USING (pr_id) GROUP BY 1)"""
+
+
 _COMMITS = "c AS (SELECT pr_id, sha, min(coalesce(order_index, 0)) AS idx, min_by(ts, (coalesce(order_index, 0), ts)) AS tm FROM t WHERE event_type = 'commit' AND sha IS NOT NULL GROUP BY 1, 2)"
 _REVIEWED = f"""{_TL}, {_COMMITS}, fl AS (SELECT pr_id, arg_min(sha, (idx, sha)) AS fs, arg_max(sha, (idx, sha)) AS ls FROM c GROUP BY 1),
 ac AS (SELECT t.*, fs, ls FROM t JOIN bots USING (pr_id) LEFT JOIN fl USING (pr_id) WHERE lower(actor) = lower(target) AND event_type IN ('review', 'review_comment', 'issue_comment')),
@@ -485,6 +492,8 @@ r2 AS (SELECT pr_id, arg_min(s, (ts, s)) AS by_comment FROM (SELECT pr_id, ts, C
 st AS (SELECT pr_id, min(ts) AS start FROM ac GROUP BY 1),
 e AS (SELECT c.pr_id, max_by(sha, CASE WHEN tm <= start THEN idx END) AS by_time, max_by(sha, idx) AS last FROM c LEFT JOIN st USING (pr_id) GROUP BY 1),
 h AS (SELECT pr_id, coalesce(by_review, by_comment, by_time, last) AS sha FROM e LEFT JOIN r1 USING (pr_id) LEFT JOIN r2 USING (pr_id))"""
+_BY_BOT = f"""{_TL}, {_COMMITS}, st AS (SELECT pr_id, min(ts) AS start FROM t JOIN bots USING (pr_id) WHERE {_SAME["loose"].format("actor", "target")} AND event_type IN ('review', 'review_comment', 'issue_comment') GROUP BY 1),
+h AS (SELECT c.pr_id, coalesce(max_by(sha, CASE WHEN tm <= start THEN idx END), max_by(sha, idx)) AS sha FROM c LEFT JOIN st USING (pr_id) GROUP BY 1)"""
 _FILES = f"""{P2_FILES}, fx AS (SELECT pr_id, event_id, ix, file_name, json_extract_string(f, '$.status') AS status, TRY_CAST(json_extract_string(f, '$.additions') AS BIGINT) AS additions, TRY_CAST(json_extract_string(f, '$.deletions') AS BIGINT) AS deletions
  FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, event_id, file_name ORDER BY ix) AS rn FROM f3 WHERE file_name IS NOT NULL) WHERE rn = 1)"""
 _ACTS = f"""{_TL}, ac AS (SELECT t.*, lower(actor) = lower(target) AS own, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, CASE WHEN path <> '' THEN ' (' || path || ':' || coalesce(CAST(line AS VARCHAR), '') || ')' ELSE '' END AS place,
@@ -528,8 +537,8 @@ SELECT id, CASE WHEN analyzed_at IS NOT NULL THEN 'analyzed' WHEN diff_lines > 5
     "backfill_diff_lines": f"""WITH {v.PRS} SELECT id, coalesce(diff_lines, pr_number % 100) AS diff_lines FROM p""",
     "incremental_merge": f"""WITH n AS (SELECT id, arg_max(status, (discovered_at, status)) AS status FROM prs WHERE discovered_at >= TIMESTAMP '{CUT}' GROUP BY 1), o AS (SELECT id, arg_max(status, (discovered_at, status)) AS status FROM prs WHERE discovered_at < TIMESTAMP '{CUT}' GROUP BY 1)
 SELECT id, status, 'new' AS side FROM n UNION ALL SELECT id, status, 'old' FROM o WHERE id NOT IN (SELECT id FROM n)""",
-    "timeline_stats": f"""{_STATS} SELECT * FROM st""",
-    "timeline_roles": f"""{_STATS} SELECT * FROM rl""",
+    "timeline_stats": _stats_sql("exact") + " SELECT * FROM st",
+    "timeline_roles": _stats_sql("exact") + " SELECT * FROM rl",
     "thread_enrich": f"""{_TL}, {_THREADS} SELECT pr_id, comment_id, thread_id, coalesce(is_resolved, false) AS is_resolved, body, CAST(coalesce(n_reactions, 0) AS INTEGER) AS n_reactions FROM en WHERE event_type = 'review_comment'""",
     "timeline_union_sorted": f"""{_TL}, {_THREADS}, u AS (SELECT pr_id, ts AS tm, coalesce(order_index, 0) AS o, 0 AS s, comment_id, event_type, actor FROM t UNION ALL SELECT pr_id, TIMESTAMP '0001-01-01', 0, 1, comment_id, 'review_comment', author FROM rc),
 w AS (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY tm, o, s, comment_id NULLS FIRST, event_type, actor NULLS FIRST) AS rn FROM u)
@@ -586,7 +595,7 @@ SELECT pr_id, string_agg(l, chr(10) ORDER BY ts, event_id) AS text FROM k WHERE
 UNION ALL SELECT event_id, 1, NULL, NULL, body, created_at FROM k WHERE event_type = 'review' AND body <> '' UNION ALL SELECT event_id, 2, NULL, NULL, body, created_at FROM k WHERE event_type = 'issue_comment'""",
     "reference_addresses": f"""WITH {v.PRS}, g AS (SELECT regexp_extract(pr_url, '/([^/]+)/pull/([0-9]+)$', 1) AS repo, CAST(regexp_extract(pr_url, '/([^/]+)/pull/([0-9]+)$', 2) AS BIGINT) AS number, min(pr_url) AS url FROM p WHERE status = 'analyzed' GROUP BY 1, 2)
 SELECT id, url FROM p LEFT JOIN g ON g.repo = split_part(repo_name, '/', -1) AND g.number = pr_number""",
-    "assembled_summary": f"""{_STATS}, {v.PRS}, he AS (SELECT id FROM prs GROUP BY 1 HAVING count(bq_events) > 0), tp AS (SELECT pr_id, arg_min(list_filter(list_transform(comments, lambda c: c.path), lambda x: x IS NOT NULL)[1], thread_id) AS first_path, arg_min(coalesce(list_filter(list_transform(comments, lambda c: c.path), lambda x: x IS NOT NULL)[1], ''), thread_id) AS fp, CAST(count(*) AS INTEGER) AS n FROM review_threads GROUP BY 1),
+    "assembled_summary": f"""{_stats_sql("exact")}, {v.PRS}, he AS (SELECT id FROM prs GROUP BY 1 HAVING count(bq_events) > 0), tp AS (SELECT pr_id, arg_min(list_filter(list_transform(comments, lambda c: c.path), lambda x: x IS NOT NULL)[1], thread_id) AS first_path, arg_min(coalesce(list_filter(list_transform(comments, lambda c: c.path), lambda x: x IS NOT NULL)[1], ''), thread_id) AS fp, CAST(count(*) AS INTEGER) AS n FROM review_threads GROUP BY 1),
 ne AS (SELECT pr_id, CAST(count(*) AS INTEGER) AS n FROM en GROUP BY 1)
 SELECT p.id AS pr_id, pr_url, pr_title, p.pr_author, pr_merged, roles, coalesce(ne.n, 0) AS n_events, coalesce(tp.n, 0) AS n_threads, nullif(fp, '') AS first_path, n_commits, n_resolved, n_target_comments
 FROM p JOIN he ON he.id = p.id LEFT JOIN st ON st.pr_id = p.id LEFT JOIN rl ON rl.pr_id = p.id LEFT JOIN tp ON tp.pr_id = p.id LEFT JOIN ne ON ne.pr_id = p.id""",
@@ -597,4 +606,9 @@ UNION ALL SELECT pr_id, 'R' || comment_id, trim(regexp_extract(body, '^([^.!?\\n
     "matched_actions": f"""WITH {v.COMMENTS}, {_SUGGEST}, s AS (SELECT pr_id, issue_id, {_WORDS.format("description")} AS sw FROM sg), a AS (SELECT pr_id, 'R' || comment_id AS aid, {_WORDS.format("body")} AS aw FROM tc WHERE in_reply_to_id IS NOT NULL),
 b AS (SELECT s.pr_id, issue_id, len(sw) AS n, coalesce(len(list_intersect(sw, aw)), 0) AS shared, aid FROM s LEFT JOIN a ON a.pr_id = s.pr_id), k AS (SELECT pr_id, issue_id, n, shared, aid, row_number() OVER (PARTITION BY pr_id, issue_id ORDER BY shared DESC, aid) AS rn FROM b)
 SELECT pr_id, issue_id AS bot_issue_id, CASE WHEN shared >= 3 THEN aid ELSE '' END AS human_action_id, shared >= 3 AS matched, round(coalesce(shared / nullif(n, 0), 0), 6) AS confidence FROM k WHERE rn = 1""",
+    "timeline_stats_by_bot": _stats_sql("loose") + " SELECT * FROM st",
+    "timeline_roles_by_bot": _stats_sql("loose") + " SELECT * FROM rl",
+    "hash_x_by_bot": f"{_BY_BOT} SELECT pr_id, substr(sha, 1, 10) AS sha FROM h",
+    "pre_post_split_by_bot": f"""{_BY_BOT}, k AS (SELECT c.pr_id, min(CASE WHEN starts_with(c.sha, h.sha) OR starts_with(h.sha, c.sha) THEN idx END) AS cut FROM c JOIN h ON h.pr_id = c.pr_id GROUP BY 1)
+SELECT c.pr_id, count(*) FILTER (NOT coalesce(idx > cut, false)) AS n_pre, count(*) FILTER (coalesce(idx > cut, false)) AS n_post FROM c JOIN k ON k.pr_id = c.pr_id GROUP BY 1""",
 }

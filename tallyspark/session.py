@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,6 +25,13 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def _temporary(prefix: str) -> str:
+    """A folder of the driver that is removed when it exits."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that setting is absent (local tests)."""
     sc = spark.sparkContext
@@ -30,7 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyspark-"))
+        sc.setCheckpointDir(named or _temporary("tallyspark-"))
     return named or sc.getCheckpointDir()
 
 
@@ -49,7 +58,7 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_tallyspark_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="tallyspark-code-")) / "tallyspark_code.zip"
+    archive = Path(_temporary("tallyspark-code-")) / "tallyspark_code.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
