@@ -25,7 +25,7 @@ from tallyspark.session import ship_package
 KINDS = ("list", "table", "junk")
 SAMPLE_ROWS = 6_000  # bound of the corpus sample used for fitting
 #: Platt scales (slope, offset) of prose, list, table and junk: :func:`calibration` on the hand-checked documents.
-SCALES = ((0.686, 1.292), (0.743, 0.451), (0.583, 0.124), (0.575, 0.742))
+SCALES = ((0.664, 0.925), (0.712, -0.451), (0.588, 0.820), (0.590, 0.032))
 
 
 def common_words(common: DataFrame) -> list[str]:
@@ -46,7 +46,7 @@ def weak_labels(f: pd.DataFrame) -> np.ndarray:
     y[((f.short_lines > 0.9) & (lines > 4.5) & (f.flow_chars < 0.1) & ~tabular & plain & (f.distinct_lines > 0.8) & (f.common_share < 0.1)).to_numpy()] = 1
     y[((f.comma_rate > 0.12) & (f.common_share < 0.04) & (f.distinct_words > 0.2) & (lines < 3.5) & plain & (f.flow_chars < 0.2) & (words > 11)).to_numpy()] = 1
     y[(tabular & (lines > 2.5) & (f.flow_chars < 0.3) & ((f.symbol_share < 0.5) | (f.frame_chars > 0.3))).to_numpy()] = 2
-    junk = (f.vowelless > 0.3) | ((f.number_words > 0.9) & ~tabular & (f.item_chars < 0.1)) | (f.long_share > 0.6) | (f.percent_share > 0.2) | (f.hex_share > 0.5) | (f.repeated_sign > 0.5)
+    junk = (f.vowelless > 0.3) | ((f.number_words > 0.9) & ~tabular & (f.item_chars < 0.1)) | (f.long_share > 0.6) | (f.percent_share > 0.2) | ((f.hex_share > 0.5) & ~tabular) | ((f.repeated_sign > 0.5) & ~tabular)
     junk |= (f.distinct_words < 0.06) & (words > 11) & (f.hiragana_share < 0.2)
     junk |= (f.letter_share + f.digit_share < 0.15) & ~tabular
     junk |= (f.symbol_share > 0.55) & (f.letter_share + f.digit_share < 0.25) & (f.frame_chars < 0.3)

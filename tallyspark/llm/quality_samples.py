@@ -63,7 +63,9 @@ def _list(rng: random.Random) -> str:
     items = [_item(rng) for _ in range(rng.randint(5, 40))]
     if rng.random() < 0.3:
         items = [f"{rng.choice(_DO)} {rng.choice(_NOUNS)}{rng.choice(['', ' ' + rng.choice(_TO)])}" for _ in items]
-    style = rng.choice(["- ", "* ", "• ", "+ ", "– ", "#", "", "", "- [ ] ", ", "])
+    elif rng.random() < 0.3:
+        items = [rng.choice([f"{rng.choice(_VERBS)}_{rng.choice(_NOUNS)}_{rng.choice(_ADJ)}", f"{rng.choice(_VERBS)}{rng.choice(_NOUNS).title()}{rng.randint(0, 900)}"]) + rng.choice(["", f" {rng.randint(0, 9)}.{rng.randint(0, 20)}"]) for _ in items]
+    style = rng.choice(["- ", "* ", "• ", "+ ", "– ", "#", "", "", "- [ ] ", ", ", ", "])
     head = rng.choice(["", "", "Touched parts\n", "Open:\n"])
     if style == ", ":
         return head + ", ".join(items)
@@ -73,7 +75,11 @@ def _list(rng: random.Random) -> str:
 def _table(rng: random.Random) -> str:
     cols, rows = rng.randint(3, 6), rng.randint(4, 25)
     cell = lambda: rng.choice([lambda: str(rng.randint(0, 999)), lambda: f"{rng.random() * 900:.2f}", lambda: rng.choice(_NOUNS), lambda: ""])()
+    if rng.random() < 0.3:  # figures alone, with or without a head
+        cell = lambda: rng.choice([str(rng.randint(0, 999)), f"{rng.random() * 900:.2f}", str(rng.randint(0, 9))])
     body = [[rng.choice(_NOUNS) for _ in range(cols)]] + [[cell() for _ in range(cols)] for _ in range(rows)]
+    if rng.random() < 0.3:
+        body = body[1:]
     style = rng.choice(["pipe", ",", ";", "\t", "gap", "html", "grid", "bare"])
     if style in ",;\t":
         return "\n".join(style.join(r) for r in body)
@@ -107,11 +113,12 @@ def _junk(rng: random.Random) -> str:
             lambda: "".join(rng.choice("!@#$%^&*()[]{}<>?/\\|~`+=") for _ in range(n * 3)),
             lambda: rng.choice(["a", "!", "?", "ha", "x"]) * n,
             lambda: "".join(chr(rng.choice([rng.randrange(0xC0, 0x17F), rng.randrange(0x2500, 0x25FF), 0xFFFD])) for _ in range(n * 2)),
+            lambda: "".join(rng.choice("€Ÿ¢©™œ¼½¸³¤âÂÃ\ufffd  ") for _ in range(n * 3)),
         ]
     )()
 
 
-def generated(each: int = 150, seed: int = 11) -> list[tuple[str, str]]:
+def generated(each: int = 200, seed: int = 11) -> list[tuple[str, str]]:
     """``each`` examples of every structural kind and three times as many of prose: (text, kind)."""
     rng = random.Random(seed)
     makers = [("prose", _prose, 3 * each), ("list", _list, each), ("table", _table, each), ("junk", _junk, each)]

@@ -179,7 +179,8 @@ class TextStatistics:
         # sentence ends: a stop before white space, the end of the text or a character outside ASCII
         stop = np.flatnonzero((sign & _STOP) != 0)
         stop = stop[(flag[stop + 1] & _SPACE != 0) | (code[stop + 1] > 127)]
-        line = self._lines(whole, la, lb, line_doc, docs, n_lines, wa, bits, stop, *(np.flatnonzero((sign & bit) != 0) for bit in (_COMMA, _DELIMITER)), np.flatnonzero((flag & _HIRAGANA) != 0))
+        odd = np.flatnonzero((code > 127) & (flag & (_LETTER | _MARK) == 0))
+        line = self._lines(whole, la, lb, line_doc, docs, n_lines, wa, wb, blank, odd, bits, stop, *(np.flatnonzero((sign & bit) != 0) for bit in (_COMMA, _DELIMITER)), np.flatnonzero((flag & _HIRAGANA) != 0))
         chars_of = lambda mask: share(np.bincount(line_doc, line["len"] * mask, docs), line_chars)
         lines_with = lambda mask: share(np.bincount(line_doc, mask, docs), n_lines)
         line_chars = np.bincount(line_doc, line["len"], docs)
@@ -202,7 +203,7 @@ class TextStatistics:
             "upper_share": share(of_class(_UPPER), letters), "space_share": share(spaces, n_chars), "hiragana_share": share(hira, letters),
             "distinct_words": share(distinct_words, n_words), "distinct_lines": share(self._distinct_lines(whole, la, lb, n_lines), n_lines),
             "distinct_chars": np.log1p(_distinct_chars(doc[own], code[own], docs)), "long_share": share(in_runs(sign & _BASE64 != 0, 40), n_chars),
-            "odd_share": share(per_doc(np.flatnonzero((code > 127) & (flag & (_LETTER | _MARK) == 0))), n_chars), "percent_share": share(3 * per_doc(percent), n_chars),
+            "odd_share": share(per_doc(odd), n_chars), "percent_share": share(3 * per_doc(percent), n_chars),
             "mixed_share": share(words_with(_MIXED), n_words), "hex_share": share(words_with(_HEX), n_words), "vowelless": share(words_with(_VOWELLESS), n_words), "number_words": share(words_with(_DIGITS), n_words),
             "comma_rate": share(n_commas, n_words), "stop_rate": share(10 * n_stops, n_words), "repeated_sign": share(repeated, n_chars),
             "punct_end": lines_with(line["ended"]), "bullets": lines_with(line["bullet"]), "flow_chars": chars_of(kind == 4), "item_chars": chars_of((kind == 2) | (kind == 3)), "named_chars": chars_of(kind == 3),
@@ -220,7 +221,7 @@ class TextStatistics:
         return np.array([n if n < 2 else len(set(lines[e - n : e])) for n, e in zip(n_lines.tolist(), ends)])
 
     @staticmethod
-    def _lines(whole, la, lb, line_doc, docs, n_lines, wa, bits, stop, comma, delimiter, hiragana) -> dict[str, np.ndarray]:
+    def _lines(whole, la, lb, line_doc, docs, n_lines, wa, wb, blank, odd, bits, stop, comma, delimiter, hiragana) -> dict[str, np.ndarray]:
         """Per line: length, delimiters, kind (0 other, 1 frame, 2 item, 3 named item, 4 running text, 5 row) and marks.
 
         A line is wrapped if the next one's first word would not have fitted behind it, within the text's longest line.
@@ -231,13 +232,16 @@ class TextStatistics:
         stops, commas, delims, hira = (np.searchsorted(at, lb) - np.searchsorted(at, la) for at in (stop, comma, delimiter, hiragana))
         v0, v1 = np.searchsorted(wa, la), np.searchsorted(wa, lb)
         common = np.flatnonzero((bits & _COMMON) != 0)
+        # rows of cells are words and numbers for a third at least and odd signs for a quarter at most, whatever their gaps
+        inside, seen = np.concatenate([[0], np.cumsum(wb - wa)]), blank[lb] - blank[la]
+        worded = (3 * (inside[v1] - inside[v0]) >= seen) & (4 * (np.searchsorted(odd, lb) - np.searchsorted(odd, la)) <= seen)
         n_words, n_common = v1 - v0, np.searchsorted(common, v1) - np.searchsorted(common, v0)
         flow = (n_words >= 4) & (n_common * 10 >= n_words) | (hira * 5 >= length)
         short = length <= _ITEM_CHARS
         width = np.zeros(docs, np.int64)
         np.maximum.at(width, line_doc, length)
         kind, ended, bullet, lead = np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
-        for i, (a, b, is_short, is_flow, has_delims) in enumerate(zip(la.tolist(), lb.tolist(), short.tolist(), flow.tolist(), (delims > 1).tolist())):
+        for i, (a, b, is_short, is_flow, has_delims, has_words) in enumerate(zip(la.tolist(), lb.tolist(), short.tolist(), flow.tolist(), (delims > 1).tolist(), worded.tolist())):
             x = whole[a:b]
             body = x.strip()
             ended[i] = body[-1:] in _ENDS or body.rstrip(_CLOSERS)[-1:] in _ENDS
@@ -252,7 +256,7 @@ class TextStatistics:
                 kind[i] = 3
             elif is_flow:
                 kind[i] = 4
-            elif (has_delims or "  " in body or "\t" in body) and _ROW.match(x):
+            elif has_words and (has_delims or "  " in body or "\t" in body) and _ROW.match(x):
                 kind[i] = 5
         wrapped = np.zeros(n, bool)
         if n > 1:
