@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scores import f_beta
@@ -41,29 +41,46 @@ def mean_f_and_f_of_means(facts: DataFrame, beta: float = 1.0) -> DataFrame:
     return means.select("day", "bot", "mean_f", f_beta(F.col("p"), F.col("r"), beta).alias("f_of_means"), "n")
 
 
+def _exact(x: Column) -> Column:
+    """``x`` as a decimal, so that sums do not depend on the order of rows; NULL where it is no finite number of that size."""
+    return x.try_cast("decimal(38,24)")
+
+
+def _exact_sum(x: Column, of: Column) -> Column:
+    """Sum of the decimals ``x``; NULL if one of the values ``of`` has none."""
+    return F.when(F.count(x) == F.count(of), F.try_sum(x))
+
+
 def leaderboard(found: Filtered) -> DataFrame:
     """Per bot: sampled and scored rows, means over rows with both measures, F of the means, volume total.
 
     With a day threshold, days of fewer scored rows do not enter the means; sums and counts are carried, not means.
-    Ordered by F, NULL last, then name.
+    Sums are decimal, so a mean on a rounding boundary comes out the same in every order of rows; measures that are not
+    finite or too large for that are summed as doubles. Ordered by F, NULL last, then name.
     """
     spec = found.spec
     both = F.col("precision").isNotNull() & F.col("recall").isNotNull()
     p, r = F.when(both, F.col("precision").cast("double")), F.when(both, F.col("recall").cast("double"))
     if spec.min_per_day is None:
-        part = found.facts.groupBy("bot", "username").agg(F.count(F.lit(1)).alias("sampled_prs"), F.count(p).alias("scored"), F.sum(p).alias("sp"), F.sum(r).alias("sr"))
+        part = found.facts.groupBy("bot", "username").agg(
+            F.count(F.lit(1)).alias("sampled_prs"), F.count(p).alias("scored"), F.sum(p).alias("sp"), F.sum(r).alias("sr"), _exact_sum(_exact(p), p).alias("xp"), _exact_sum(_exact(r), r).alias("xr")
+        )
     else:
-        enough = F.col("n") >= spec.min_per_day
+        kept = lambda c: F.when(F.col("n") >= spec.min_per_day, F.col(c))
         part = (
             found.facts.groupBy("bot", "username", "day")
-            .agg(F.count(F.lit(1)).alias("rows"), F.count(p).alias("n"), F.sum(p).alias("p"), F.sum(r).alias("r"))
+            .agg(
+                F.count(F.lit(1)).alias("rows"), F.count(p).alias("n"), F.sum(p).alias("p"), F.sum(r).alias("r"),
+                _exact_sum(_exact(p), p).alias("xp"), _exact_sum(_exact(r), r).alias("xr"),
+            )
             .groupBy("bot", "username")
             .agg(
-                F.sum("rows").alias("sampled_prs"), F.coalesce(F.sum(F.when(enough, F.col("n"))), F.lit(0)).alias("scored"),
-                F.sum(F.when(enough, F.col("p"))).alias("sp"), F.sum(F.when(enough, F.col("r"))).alias("sr"),
+                F.sum("rows").alias("sampled_prs"), F.coalesce(F.sum(kept("n")), F.lit(0)).alias("scored"), F.sum(kept("p")).alias("sp"), F.sum(kept("r")).alias("sr"),
+                _exact_sum(kept("xp"), kept("p")).alias("xp"), _exact_sum(kept("xr"), kept("r")).alias("xr"),
             )
         )
-    ap, ar = F.try_divide("sp", "scored"), F.try_divide("sr", "scored")
+    mean = lambda x, s: F.coalesce(F.try_divide(x, "scored").cast("double"), F.try_divide(s, "scored"))
+    ap, ar = mean("xp", "sp"), mean("xr", "sr")
     shown = part.join(found.totals, "bot", "left").select(
         F.col("username").alias("chatbot"), F.coalesce(ap, F.lit(0.0)).alias("precision"), F.coalesce(ar, F.lit(0.0)).alias("recall"), f_beta(ap, ar, spec.beta).alias("f_score"),
         "sampled_prs", F.col("scored").alias("scored_prs"), F.coalesce("total_prs", F.lit(0)).alias("total_prs"),

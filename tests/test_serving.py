@@ -1,3 +1,5 @@
+import math
+import random
 from datetime import date
 
 import pytest
@@ -103,3 +105,28 @@ def test_dashboard_size_rule(frame):
     df = frame([(50,), (2500,), (None,)], "diff_lines long")
     n = lambda *a: df.where(filters.dashboard_size_ok(*a)).count()
     assert (n(0, 2000, False), n(0, 2000, True), n(10, 100, False)) == (2, 2, 1)
+
+
+def tenths(bots):
+    """320 measures per bot in tenths, in another order for each bot; their mean 0.5040625 lies halfway between two figures of six digits."""
+    values = [0.1] * 40 + [0.3] * 71 + [0.6] * 156 + [0.8] * 53
+    for bot in bots:
+        random.Random(bot).shuffle(values)
+        yield from (fact(bot=bot, day=D(1 + i % 2), p=p, r=r) for i, (p, r) in enumerate(zip(values, reversed(values), strict=True)))
+
+
+def board_of(frame, rows, spec, bots):
+    names = frame([(b, f"bot {b}", None, b % 2 == 0) for b in bots], BOT)
+    return metrics.leaderboard(apply_filters(frame(list(rows), FACT.replace("float", "double")), names, frame([], VOL), spec)).collect()
+
+
+@pytest.mark.parametrize("spec", [FilterSpec(), FilterSpec(min_per_day=2)])
+def test_leaderboard_means_do_not_depend_on_the_order_of_rows(frame, spec):
+    board = board_of(frame, tenths(range(1, 40, 2)), spec, range(1, 40, 2))
+    assert len(board) == 20 and {(r.precision, r.recall) for r in board} == {(0.5040625, 0.5040625)}
+
+
+def test_leaderboard_sums_measures_that_are_no_decimals(frame):
+    rows = [fact(p=float("nan")), fact(p=0.5, r=1e300), fact(bot=3, p=0.5, r=0.25)]
+    board = {r.chatbot: r for r in board_of(frame, rows, FilterSpec(), [1, 3])}
+    assert math.isnan(board["bot 1"].precision) and board["bot 1"].recall == 5e299 and board["bot 3"].recall == 0.25
