@@ -130,3 +130,8 @@ def test_leaderboard_sums_measures_that_are_no_decimals(frame):
     rows = [fact(p=float("nan")), fact(p=0.5, r=1e300), fact(bot=3, p=0.5, r=0.25)]
     board = {r.chatbot: r for r in board_of(frame, rows, FilterSpec(), [1, 3])}
     assert math.isnan(board["bot 1"].precision) and board["bot 1"].recall == 5e299 and board["bot 3"].recall == 0.25
+
+
+def test_leaderboard_f_of_halfway_means_with_beta_and_ignored_bots(frame):
+    board = board_of(frame, tenths(range(1, 21)), FilterSpec(beta=2.0, include_ignored=True), range(1, 21))
+    assert len(board) == 20 and {(r.precision, r.recall, r.f_score) for r in board} == {(0.5040625, 0.5040625, 0.5040625)}
